@@ -2,9 +2,11 @@
 
 The rank file becomes literal arrays: a perfect hash from a pair of adjacent
 ids to the rank of their concatenation. A fold over a word's bytes merges the
-lowest-ranked pair, leftmost first, until none is left. Words are encoded once:
-the corpus' frequent words in a bounded, broadcast dictionary, the others where
-they first occur in a task. Decoding concatenates the tokens' binary pieces.
+lowest-ranked pair, leftmost first, until none is left. Distinct words are
+encoded once, as many as a bounded dictionary holds, most frequent first; the
+dictionary is broadcast as flat arrays. Any other word is folded by the same
+expression in the task that meets it. Decoding concatenates the tokens' binary
+pieces.
 """
 
 from __future__ import annotations
@@ -17,28 +19,31 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Words of the broadcast dictionary, at most.
-DICTIONARY_WORDS = 200_000
-#: Longest word of the dictionary, in characters.
-DICTIONARY_CHARS = 32
-#: Other words that a task remembers before it starts afresh.
-TASK_WORDS = 300_000
-#: "No such pair" among ranks.
-NO_PAIR = 2_147_483_647
-#: Ids must be below this for a pair to fit its key.
+#: Words of the broadcast dictionary, at most: 12 bytes each and 2 or 4 more a token.
+DICTIONARY_WORDS = 4_000_000
+#: Longest word of the dictionary, in characters; with it the bound above is one in bytes.
+DICTIONARY_CHARS = 64
+#: Distinct words that a task remembers before it starts afresh.
+TASK_WORDS = 600_000
+#: "No such pair" among ranks; ids and ranks take 20 bits, the place of a byte 22.
+NO_PAIR = (1 << 20) - 1
 ID_LIMIT = 1 << 20
+RANK_UNIT = 1 << 42
+#: Characters of a plan that Spark keeps as text; the rank literals would fill megabytes of every description.
+PLAN_CHARS = 100_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """Ranks of a file with one base64 token and its rank a line; every single byte must be there."""
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    if any(bytes([b]) not in ranks for b in range(256)) or max(ranks.values()) >= ID_LIMIT:
+    if any(bytes([b]) not in ranks for b in range(256)) or max(ranks.values()) >= NO_PAIR:
         raise ValueError("the rank file must hold every byte and ids below 2^20")
     return ranks
 
@@ -61,50 +66,51 @@ class RankMap:
         return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
     def encode(self, word: Column) -> Column:
-        """array<int> ids of a word, by folding the ranked merges over its bytes."""
+        """array<int> ids of a word, by folding the ranked merges over its bytes.
+
+        The state is one array with a number per token: the rank of its pair
+        with the next token, then the place of its first byte, then its id. The
+        least number is therefore the leftmost pair of the lowest rank.
+        """
         keys, values = self._literal(self.keys, "bigint"), self._literal(self.values, "int")
         shifts, byte_ids = self._literal(self.shifts, "int"), self._literal(self.byte_ids, "int")
-        slots, buckets, none = len(self.keys), len(self.shifts), F.lit(NO_PAIR)
+        slots, buckets = len(self.keys), len(self.shifts)
 
         def let(value: Column, body) -> Column:
             return F.transform(F.array(value), body)[0]
 
-        def rank(left: Column, right: Column) -> Column:
-            def probe(key):
-                place = (key % self.prime + F.get(shifts, (key % buckets).cast("int"))) % slots
-                return let(place.cast("int"), lambda at: F.when(F.get(keys, at) == key, F.get(values, at)).otherwise(none))
+        def rank(key: Column) -> Column:
+            place = (key % self.prime + F.get(shifts, (key % buckets).cast("int"))) % slots
+            return let(place.cast("int"), lambda at: F.when(F.get(keys, at) == key, F.get(values, at)).otherwise(F.lit(NO_PAIR)))
 
-            return let(left.cast("bigint") * ID_LIMIT + right, probe)
+        def merge(acc, least):
+            merged = F.shiftright(least, 42)
 
-        def merge(acc, lowest):
             def at(p):
-                ids, ranks = acc["ids"], acc["ranks"]
-                before, after = F.get(ids, p - 2), F.get(ids, p + 1)
-                return F.struct(
-                    F.concat(F.slice(ids, 1, p - 1), F.array(lowest), F.slice(ids, p + 2, F.size(ids))).alias("ids"),
-                    F.concat(
-                        F.slice(ranks, 1, F.greatest(p - 2, F.lit(0))),
-                        F.when(p > 1, F.array(rank(before, lowest))).otherwise(F.array().cast("array<int>")),
-                        F.when(p + 1 < F.size(ids), F.array(rank(lowest, after))).otherwise(F.array().cast("array<int>")),
-                        F.slice(ranks, p + 2, F.size(ids))).alias("ranks"))
-
-            return let(F.array_position(acc["ranks"], lowest).cast("int"), at)
+                left, right = F.get(acc, p - 2), F.get(acc, p + 1)
+                ranks = F.transform(F.array((left % ID_LIMIT) * ID_LIMIT + merged, merged * ID_LIMIT + right % ID_LIMIT), rank)
+                bases = F.array(left % RANK_UNIT, least % RANK_UNIT - least % ID_LIMIT + merged)
+                fresh = F.zip_with(ranks, bases, lambda r, base: r.cast("bigint") * RANK_UNIT + base)
+                return F.concat(
+                    F.slice(acc, 1, F.greatest(p - 2, F.lit(0))),
+                    F.when(p == 1, F.slice(fresh, 2, 1)).otherwise(fresh),
+                    F.slice(acc, p + 2, F.size(acc)))
+
+            return let(F.array_position(acc, least).cast("int"), at)
 
         def step(acc, _):
-            return let(F.coalesce(F.array_min(acc["ranks"]), none),
-                       lambda lowest: F.when(lowest == none, acc).otherwise(merge(acc, lowest)))
+            return let(F.array_min(acc), lambda least: F.when(least >= NO_PAIR * RANK_UNIT, acc).otherwise(merge(acc, least)))
 
         def fold(ids):
-            pairs = F.when(F.size(ids) > 1, F.transform(
-                F.sequence(F.lit(0), F.size(ids) - 2), lambda i: rank(F.get(ids, i), F.get(ids, i + 1)))
-            ).otherwise(F.array().cast("array<int>"))
-            begin = F.struct(ids.alias("ids"), pairs.alias("ranks"))
-            return F.aggregate(pairs, begin, step, lambda acc: acc["ids"])
+            begin = F.transform(ids, lambda x, i: rank(x.cast("bigint") * ID_LIMIT + F.get(ids, i + 1)).cast("bigint")
+                                * RANK_UNIT + i.cast("bigint") * ID_LIMIT + x)
+            return F.aggregate(F.slice(ids, 2, F.size(ids)), begin, step,
+                               lambda acc: F.transform(acc, lambda e: (e % ID_LIMIT).cast("int")))
 
         # One character per byte: ISO-8859-1 maps bytes to the first 256 code points.
         chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-        ids = F.transform(F.filter(chars, lambda c: c != ""), lambda c: F.get(byte_ids, F.ascii(c)))
-        return let(ids, fold)
+        ids = F.transform(chars, lambda c: F.get(byte_ids, F.ascii(c)))
+        return let(ids, lambda x: F.when(F.size(x) > 1, fold(x)).otherwise(x))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of ids: their tokens' binary pieces, concatenated."""
@@ -173,6 +179,59 @@ def _word_counts(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class Dictionary:
+    """Ids of words in flat arrays, found by a 64-bit hash and confirmed by decoding."""
+
+    def __init__(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
+        order = np.argsort(hashes, kind="stable")
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        self.hashes, self.sizes = hashes[order], sizes[order].astype(np.int32)
+        flat = np.concatenate([[0], np.cumsum(self.sizes[:-1], dtype=np.int64)]) if len(order) else np.empty(0, np.int64)
+        take = np.repeat(starts[order] - flat, self.sizes) + np.arange(len(ids))
+        self.ids = ids[take].astype(np.uint16 if not len(ids) or ids.max() < 65536 else np.uint32)
+        self.starts = flat.astype(np.int64)
+
+    def find(self, words: list[str], tokens: list[bytes]) -> list[list[int] | None]:
+        """The ids of each word, None where the dictionary lacks it."""
+        if not words:
+            return []
+        raw = [w.encode() for w in words]
+        want = np.fromiter((xxhash.xxh64_intdigest(r, 42) for r in raw), np.uint64, len(raw)).astype(np.int64)
+        at = np.searchsorted(self.hashes, want)
+        hit = at < len(self.hashes)
+        hit[hit] = self.hashes[at[hit]] == want[hit]
+        out: list[list[int] | None] = [None] * len(words)
+        for k in np.flatnonzero(hit).tolist():
+            start = self.starts[at[k]]
+            ids = self.ids[start:start + self.sizes[at[k]]].tolist()
+            if b"".join([tokens[i] for i in ids]) == raw[k]:
+                out[k] = ids
+        return out
+
+
+def build_dictionary(docs: DataFrame, ranks: RankMap, pattern: str, most: int, work: Scratch) -> Dictionary:
+    """Fold the distinct words of all texts, the most frequent counts that fit `most` words."""
+    words = work.put(_word_counts(docs, pattern).where(F.length("word") <= DICTIONARY_CHARS), "words")
+    by_count = sorted(((r["n"], r["count"]) for r in words.groupBy("n").count().collect()), reverse=True)
+    least, held = None, 0
+    for n, count in by_count:
+        if held + count > most:
+            break
+        least, held = n, held + count
+    if least is None:
+        return Dictionary(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
+    encoded = words.where(F.col("n") >= least).repartition(max(1, -(-held // 20_000)), "word").select(
+        F.xxhash64("word").alias("hash"), ranks.encode(F.col("word")).alias("ids"))
+    got = work.put(encoded, "dictionary").toArrow()
+    ids = got.column("ids").combine_chunks()
+    hashes = got.column("hash").to_numpy()
+    sizes = np.diff(ids.offsets.to_numpy()).astype(np.int64)
+    out = Dictionary(hashes, sizes, ids.flatten().to_numpy())
+    work.drop("words", "dictionary")
+    return out
+
+
 def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
                      text_col: str = "text", dictionary_words: int = DICTIONARY_WORDS) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256.
@@ -184,72 +243,91 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str
     whatever their names; an empty table gives an empty result.
 
     The dictionary holds the most frequent words, as many counts as fit
-    `dictionary_words` rows, so its broadcast is bounded; every other word is
-    folded in the task that meets it. A word of n bytes costs O(n^2).
+    `dictionary_words`, so its broadcast is bounded; every other word is folded
+    in the task that meets it. A word of n bytes costs O(n^2).
     """
     spark = docs.sparkSession
-    work = Scratch(spark, "byte-bpe")
+    if int(spark.conf.get("spark.sql.maxPlanStringLength", "2147483632")) > PLAN_CHARS:
+        spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_CHARS))
     ranks = rank_map(rank_path)
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-    short = work.put(_word_counts(base, pattern).where(F.length("word") <= DICTIONARY_CHARS), "words")
-    by_count = sorted(((r["n"], r["count"]) for r in short.groupBy("n").count().collect()), reverse=True)
-    least, held = None, 0
-    for n, words in by_count:
-        if held + words > dictionary_words:
-            break
-        least, held = n, held + words
-    dictionary: dict[str, tuple[str, int, bytes]] = {}
-    if least is not None:
-        ids = short.where(F.col("n") >= least).select("word").repartition(
-            max(1, -(-held // 4000))).select("word", ranks.encode(F.col("word")).alias("ids"))
-        ids = work.put(ids, "dictionary")
-        for r in ids.select("word", F.array_join("ids", " ").alias("text"), F.size("ids").alias("n"),
-                            ranks.decode(F.col("ids")).alias("raw")).collect():
-            dictionary[r["word"]] = (r["text"], r["n"], bytes(r["raw"]))
-    work.drop("words")
-    sent = spark.sparkContext.broadcast(dictionary)
+    dictionary = build_dictionary(base, ranks, pattern, dictionary_words, Scratch(spark, "byte-bpe"))
+    tokens = [bytes.fromhex(x) for x in ranks.token_hex]
+    sent = spark.sparkContext.broadcast((dictionary, tokens))
 
     def look_up(batches):
-        """Pass texts on with the words that neither the dictionary nor the task has met."""
-        find, known, met = regex.compile(pattern).findall, sent.value, set()
+        """Number each text's words in the order a task meets them; new words come with their ids or by name."""
+        find, met = regex.compile(pattern).findall, _Numbers()
+        known, pieces = sent.value
         for batch in batches:
-            rest, afresh = [], []
+            places, afresh, ids, rest = [], [], [], []
             for text in batch.column(1).to_pylist():
-                words = {w for w in find(text) if w not in known}
                 afresh.append(len(met) > TASK_WORDS)
                 if afresh[-1]:
                     met.clear()
-                rest.append(list(words - met))
-                met |= words
+                held = len(met)
+                words = find(text)
+                places.append(np.fromiter(map(met.__getitem__, words), np.int32, len(words)))
+                fresh = met.since(held)
+                got = known.find(fresh, pieces)
+                ids.append(got)
+                rest.append([w for w, g in zip(fresh, got) if g is None])
+            ends = np.concatenate([[0], np.cumsum([len(p) for p in places])]).astype(np.int32)
+            flat = np.concatenate(places) if places else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(rest, pa.list_(pa.string())), pa.array(afresh, pa.bool_())],
-                ["doc_id", "text", "rest", "afresh"])
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(afresh, pa.bool_()),
+                 pa.array(ids, pa.list_(pa.list_(pa.int32()))), pa.array(rest, pa.list_(pa.string()))],
+                ["doc_id", "places", "afresh", "ids", "rest"])
 
     def assemble(batches):
-        """Join each text's ids in the order of its words; the same task has seen the words above."""
-        find, known, met = regex.compile(pattern).findall, sent.value, {}
+        """Join each text's ids in the order of its words; the same task has numbered the words above."""
+        pieces = sent.value[1]
+        texts: list[str] = []
+        sizes: list[int] = []
+        raws: list[bytes] = []
         for batch in batches:
             out = []
-            _, texts, rest, afresh, folded, counts, raws = (c.to_pylist() for c in batch.columns)
-            for text, words, clear, ids, ns, raw in zip(texts, rest, afresh, folded, counts, raws):
+            for clear, own, folded, at in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), batch.column(1)):
                 if clear:
-                    met.clear()
-                met.update(zip(words, zip(ids, ns, raw)))
-                got = [known.get(w) or met[w] for w in find(text)]
-                out.append((sum(g[1] for g in got),
-                            hashlib.sha256(" ".join([g[0] for g in got]).encode()).hexdigest(),
-                            hashlib.sha256(b"".join([g[2] for g in got])).hexdigest()))
+                    texts.clear()
+                    sizes.clear()
+                    raws.clear()
+                folded = iter(folded)
+                for ids in own:
+                    ids = next(folded) if ids is None else ids
+                    texts.append(" ".join(map(str, ids)))
+                    sizes.append(len(ids))
+                    raws.append(b"".join([pieces[i] for i in ids]))
+                at = at.values.to_numpy().tolist()
+                out.append((sum(map(sizes.__getitem__, at)),
+                            hashlib.sha256(" ".join(map(texts.__getitem__, at)).encode()).hexdigest(),
+                            hashlib.sha256(b"".join(map(raws.__getitem__, at))).hexdigest()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()),
                  pa.array([x[2] for x in out], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    asked = base.mapInArrow(look_up, f"doc_id {kind}, text string, rest array<string>, afresh boolean")
-    folded = asked.withColumn("ids", F.transform("rest", ranks.encode)).select(
-        "doc_id", "text", "rest", "afresh",
-        F.transform("ids", lambda i: F.array_join(i, " ")).alias("folded"),
-        F.transform("ids", lambda i: F.size(i)).alias("counts"),
-        F.transform("ids", ranks.decode).alias("raws"))
+    asked = base.mapInArrow(
+        look_up, f"doc_id {kind}, places array<int>, afresh boolean, ids array<array<int>>, rest array<string>")
+    folded = asked.select("doc_id", "places", "afresh", "ids", F.transform("rest", ranks.encode).alias("folded"))
     return folded.mapInArrow(
         assemble, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+class _Numbers(dict):
+    """Word to its number in the order of first use."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+    def since(self, held: int) -> list[str]:
+        """Words numbered `held` and above; a dict keeps the order of insertion."""
+        if held == len(self):
+            return []
+        words = []
+        for word in reversed(self):
+            if len(words) == len(self) - held:
+                break
+            words.append(word)
+        return words[::-1]
