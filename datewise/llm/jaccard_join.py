@@ -207,23 +207,31 @@ class _Join:
             F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("last").alias("last"),
             F.min("class").alias("head"), F.count("*").alias("members")), "groups")
         # Tokens that one group alone has can pair nothing.
-        tokens = self.groups.select(F.explode("prefix").alias("token"), "group", "n")
+        tokens = self.groups.select(F.posexplode("prefix").alias("before", "token"), "group", "n")
         counts = tokens.groupBy("token").agg(F.count("*").alias("lists")).where("lists > 1").select("token")
         self.postings = self.work.put(tokens.join(counts, "token", "left_semi"), "postings")
         self.labels = self.classes.select(F.col("class").alias("node"), F.col("class").alias("label"))
         self.links = None
 
-    def similar_size(self, a: str, b: str):
-        return F.expr(f"100 * {a} >= {self.similarity} * {b} AND 100 * {b} >= {self.similarity} * {a}")
+    def within_reach(self, na: str, nb: str, left_a: str, left_b: str):
+        """Size and place filter of two sets that share a token.
+
+        `left` counts a set's members from the shared token on. A similar pair
+        passes at its first shared token: nothing before it is common.
+        """
+        t = self.similarity
+        return F.expr(f"100 * {na} >= {t} * {nb} AND 100 * {nb} >= {t} * {na} AND "
+                      f"{100 + t} * least({left_a}, {left_b}) >= {t} * ({na} + {nb})")
 
     def pivot_round(self, turn: int) -> None:
         """Link each group with the pivot that leads most of its posting lists."""
         heads = self.groups.select("group", F.col("head").alias("node")).join(self.labels, "node").select("group", "node", "label")
         lists = self.postings.join(heads, "group")
-        order = F.struct(F.xxhash64("group", F.lit(turn)).alias("o"), "group", "n", "node", "label")
+        # The set whose shared token stands earliest has the fewest members of its own.
+        order = F.struct("before", F.xxhash64("group", F.lit(turn)).alias("o"), "group", "n", "node", "label")
         pivots = lists.groupBy("token").agg(F.min(order).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
         asked = lists.join(pivots, "token").where(
-            (F.col("label") != F.col("p.label")) & self.similar_size("n", "p.n"))
+            (F.col("label") != F.col("p.label")) & self.within_reach("n", "p.n", "n - before", "p.n - p.before"))
         scored = asked.groupBy("node", F.col("p.node").alias("pivot")).agg(F.count("*").alias("c"))
         best = scored.groupBy("node").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("pivot"))
         inside = None
@@ -293,27 +301,29 @@ class _Join:
         """Pair all classes that share a prefix token and are in different components yet."""
         named = self.classes.join(self.labels, self.classes["class"] == self.labels["node"]).select("class", "group", "label")
         by_label = self.work.put(named.groupBy("group", "label").agg(F.count("*").alias("k")), "group-labels")
-        lists = self.postings.join(by_label, "group").select("token", "group", "label", "n")
+        lists = self.postings.join(by_label, "group").select("token", "group", "label", "n", (F.col("n") - F.col("before")).alias("rest"))
         # Classes of one group share its whole prefix: the group itself serves as a token.
         split = by_label.groupBy("group").agg(F.count("*").alias("labels")).where("labels > 1").select("group")
         own = self.groups.join(split, "group", "left_semi").join(by_label, "group").select(
-            F.xxhash64("group").alias("token"), "group", "label", "n")
+            F.xxhash64("group").alias("token"), "group", "label", "n", F.col("n").alias("rest"))
         lists = lists.unionByName(own)
         # Lists under one label alone, as those of large groups of near copies now are, go before any pairing.
-        labels = lists.select("token", "label").distinct()
-        open_ = labels.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-        lists = self.work.put(lists.join(open_, "token", "left_semi"), "open-lists")
-        heads = lists.groupBy("token", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-        fits = F.expr(f"x.label < y.label AND 100 * x.most >= {self.similarity} * y.least AND 100 * y.most >= {self.similarity} * x.least")
+        heads = lists.groupBy("token", "label").agg(
+            F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
+        open_ = heads.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+        heads = self.work.put(heads.join(open_, "token", "left_semi"), "heads")
+        t = self.similarity
+        fits = F.expr(f"x.label < y.label AND 100 * x.most >= {t} * y.least AND 100 * y.most >= {t} * x.least AND "
+                      f"{100 + t} * least(x.rest, y.rest) >= {t} * (x.least + y.least)")
         label_pairs = heads.alias("x").join(heads.alias("y"), (F.col("x.token") == F.col("y.token")) & fits).select(
             "x.token", F.col("x.label").alias("lx"), F.col("y.label").alias("ly"))
-        left = lists.toDF("token", "ga", "lx", "na")
-        right = lists.toDF("token", "gb", "ly", "nb")
-        hits = label_pairs.join(left, ["token", "lx"]).join(right, ["token", "ly"]).where(self.similar_size("na", "nb"))
-        counted = hits.groupBy("ga", "lx", "gb", "ly").agg(F.count("*").alias("c"))
-        ends = self.groups.select("group", "n", "last")
-        kept = counted.join(ends.toDF("ga", "na", "la"), "ga").join(ends.toDF("gb", "nb", "lb"), "gb").where(
-            (F.col("ga") == F.col("gb")) | self.reachable(F.col("c"))).select("ga", "lx", "gb", "ly")
+        left = lists.toDF("token", "ga", "lx", "na", "ra")
+        right = lists.toDF("token", "gb", "ly", "nb", "rb")
+        hits = label_pairs.join(left, ["token", "lx"]).join(right, ["token", "ly"]).where(
+            self.within_reach("na", "nb", "ra", "rb")).select("ga", "lx", "gb", "ly").distinct()
+        ends = self.groups.select("group", "n", "prefix", "last")
+        kept = hits.join(ends.toDF("ga", "na", "pa", "la"), "ga").join(ends.toDF("gb", "nb", "pb", "lb"), "gb").where(
+            self.reachable(F.size(F.array_intersect("pa", "pb")))).select("ga", "lx", "gb", "ly")
         members = self.work.put(named, "named")
         expanded = kept.join(members.toDF("a", "ga", "lx"), ["ga", "lx"]).join(members.toDF("b", "gb", "ly"), ["gb", "ly"])
         self.verify(expanded.select("a", "b"), "exact")
