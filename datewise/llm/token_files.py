@@ -28,8 +28,8 @@ from .common import Scratch
 RANK_STEP = 512
 #: Characters of text that one shard takes, on average.
 SHARD_CHARS = 8_000_000
-#: Distinct pieces whose ids a task remembers.
-CACHE_PIECES = 300_000
+#: Distinct pieces whose ids a worker remembers from task to task.
+CACHE_PIECES = 1_000_000
 
 SHARD_SCHEMA = ("shard int, n_docs long, n_tokens long, doc_ids binary, null_ids long, doc_starts binary, "
                 "levels array<binary>, bitmaps array<binary>, ranks array<binary>")
@@ -46,11 +46,11 @@ class DirectlyAddressableCodes:
 
     @classmethod
     def encode(cls, ids: np.ndarray) -> DirectlyAddressableCodes:
-        rest = np.asarray(ids, dtype=np.uint64)
+        rest = np.asarray(ids).astype(np.uint32)
         n, levels, bitmaps, ranks = len(rest), [], [], []
         while True:
-            levels.append((rest & np.uint64(255)).astype(np.uint8))
-            rest = rest >> np.uint64(8)
+            levels.append(rest.astype(np.uint8))
+            rest = rest >> np.uint32(8)
             more = rest > 0
             if not more.any():
                 return cls(n, levels, bitmaps, ranks)
@@ -94,6 +94,15 @@ class DirectlyAddressableCodes:
             start, end = self._rank(level, start), self._rank(level, end)
         return out
 
+    def all(self) -> np.ndarray:
+        """Every token, level by level."""
+        out, place = np.zeros(self.n, dtype=np.uint32), np.arange(self.n)
+        for level, chunks in enumerate(self.levels):
+            out[place] |= chunks.astype(np.uint32) << np.uint32(8 * level)
+            if level < len(self.bitmaps):
+                place = place[np.unpackbits(self.bitmaps[level], bitorder="little")[:len(chunks)].astype(bool)]
+        return out
+
     def to_binary(self) -> tuple[list[bytes], list[bytes], list[bytes]]:
         return ([x.tobytes() for x in self.levels], [x.tobytes() for x in self.bitmaps],
                 [x.astype("<i8").tobytes() for x in self.ranks])
@@ -127,8 +136,14 @@ class PieceEncoder:
         known = self.known
         new = list({p for s in split for p in s if p not in known})
         if new:
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[p] = np.array(e.ids, dtype=np.uint32).tobytes()
+            # One call for all new pieces: each is a word of its own, and word_ids tells whose a token is.
+            got = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(got.ids, dtype=np.uint32).tobytes()
+            ends = np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(new)), side="right").tolist()
+            start = 0
+            for p, end in zip(new, ends):
+                known[p] = raw[4 * start:4 * end]
+                start = end
         return [np.frombuffer(b"".join(map(known.__getitem__, s)), dtype=np.uint32) for s in split]
 
 
@@ -223,10 +238,11 @@ def read_tokens(spark, path: str, with_ids: bool = True) -> DataFrame:
                 codes = DirectlyAddressableCodes.from_binary(row["n_tokens"], row["levels"], row["bitmaps"], row["ranks"])
                 starts = np.frombuffer(row["doc_starts"], "<i8")
                 ids = [None] * row["null_ids"] + np.frombuffer(row["doc_ids"], "<i8").tolist()
+                tokens = codes.all().astype("<u4", copy=False)
                 for at in range(0, len(ids), 2000):
                     end = min(at + 2000, len(ids))
-                    docs = [codes.slice(int(starts[k]), int(starts[k + 1])) for k in range(at, end)]
-                    raw = [d.astype("<u4").tobytes() for d in docs]
+                    docs = [tokens[starts[k]:starts[k + 1]] for k in range(at, end)]
+                    raw = [d.tobytes() for d in docs]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([row["shard"]] * len(docs), pa.int32()), pa.array(ids[at:end], pa.int64()),
                          pa.array(starts[at:end], pa.int64()), pa.array([len(d) for d in docs], pa.int64()),
