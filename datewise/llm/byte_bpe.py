@@ -25,12 +25,15 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Words of the broadcast dictionary, at most: 12 bytes each and 2 or 4 more a token.
-DICTIONARY_WORDS = 4_000_000
+#: Words of the broadcast dictionary, at most: 13 bytes each and 2 or 4 more a token. A word that occurs
+#: once gains nothing from it and is left to the task that meets it.
+DICTIONARY_WORDS = 2_000_000
 #: Longest word of the dictionary, in characters; with it the bound above is one in bytes.
 DICTIONARY_CHARS = 64
 #: Distinct words that a task remembers before it starts afresh.
 TASK_WORDS = 600_000
+#: Texts that share one look-up.
+SLICE_ROWS = 512
 #: "No such pair" among ranks; ids and ranks take 20 bits, the place of a byte 22.
 NO_PAIR = (1 << 20) - 1
 ID_LIMIT = 1 << 20
@@ -84,17 +87,17 @@ class RankMap:
             return let(place.cast("int"), lambda at: F.when(F.get(keys, at) == key, F.get(values, at)).otherwise(F.lit(NO_PAIR)))
 
         def merge(acc, least):
-            merged = F.shiftright(least, 42)
-
             def at(p):
-                left, right = F.get(acc, p - 2), F.get(acc, p + 1)
-                ranks = F.transform(F.array((left % ID_LIMIT) * ID_LIMIT + merged, merged * ID_LIMIT + right % ID_LIMIT), rank)
-                bases = F.array(left % RANK_UNIT, least % RANK_UNIT - least % ID_LIMIT + merged)
-                fresh = F.zip_with(ranks, bases, lambda r, base: r.cast("bigint") * RANK_UNIT + base)
-                return F.concat(
-                    F.slice(acc, 1, F.greatest(p - 2, F.lit(0))),
-                    F.when(p == 1, F.slice(fresh, 2, 1)).otherwise(fresh),
-                    F.slice(acc, p + 2, F.size(acc)))
+                """Put the merged token at place p, drop the next one, and rank the pairs on either side anew."""
+                merged = F.shiftright(least, 42)
+
+                def fresh(e, i):
+                    before = rank((e % ID_LIMIT) * ID_LIMIT + merged).cast("bigint") * RANK_UNIT + e % RANK_UNIT
+                    own = (rank(merged * ID_LIMIT + F.get(acc, p + 1) % ID_LIMIT).cast("bigint") * RANK_UNIT
+                           + e % RANK_UNIT - e % ID_LIMIT + merged)
+                    return F.when((i < p - 2) | (i > p), e).when(i == p - 2, before).when(i == p - 1, own)
+
+                return F.filter(F.transform(acc, fresh), lambda e: e.isNotNull())
 
             return let(F.array_position(acc, least).cast("int"), at)
 
@@ -184,13 +187,13 @@ class Dictionary:
 
     def __init__(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
         order = np.argsort(hashes, kind="stable")
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
-        self.hashes, self.sizes = hashes[order], sizes[order].astype(np.int32)
-        flat = np.concatenate([[0], np.cumsum(self.sizes[:-1], dtype=np.int64)]) if len(order) else np.empty(0, np.int64)
-        take = np.repeat(starts[order] - flat, self.sizes) + np.arange(len(ids))
-        self.ids = ids[take].astype(np.uint16 if not len(ids) or ids.max() < 65536 else np.uint32)
-        self.starts = flat.astype(np.int64)
+        starts = (np.cumsum(sizes, dtype=np.int64) - sizes)[order]
+        self.hashes, self.sizes = hashes[order], sizes[order].astype(np.uint8)
+        self.starts = (np.cumsum(self.sizes, dtype=np.int64) - self.sizes).astype(np.int32)
+        self.ids = np.empty(len(ids), np.uint16 if not len(ids) or ids.max() < 65536 else np.uint32)
+        for k in range(int(self.sizes.max(initial=0))):  # the k-th token of every word that has one
+            long = self.sizes > k
+            self.ids[self.starts[long] + k] = ids[starts[long] + k]
 
     def find(self, words: list[str], tokens: list[bytes]) -> list[list[int] | None]:
         """The ids of each word, None where the dictionary lacks it."""
@@ -203,8 +206,8 @@ class Dictionary:
         hit[hit] = self.hashes[at[hit]] == want[hit]
         out: list[list[int] | None] = [None] * len(words)
         for k in np.flatnonzero(hit).tolist():
-            start = self.starts[at[k]]
-            ids = self.ids[start:start + self.sizes[at[k]]].tolist()
+            start = int(self.starts[at[k]])
+            ids = self.ids[start:start + int(self.sizes[at[k]])].tolist()
             if b"".join([tokens[i] for i in ids]) == raw[k]:
                 out[k] = ids
         return out
@@ -216,7 +219,7 @@ def build_dictionary(docs: DataFrame, ranks: RankMap, pattern: str, most: int, w
     by_count = sorted(((r["n"], r["count"]) for r in words.groupBy("n").count().collect()), reverse=True)
     least, held = None, 0
     for n, count in by_count:
-        if held + count > most:
+        if n < 2 or held + count > most:
             break
         least, held = n, held + count
     if least is None:
@@ -253,35 +256,37 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     dictionary = build_dictionary(base, ranks, pattern, dictionary_words, Scratch(spark, "byte-bpe"))
     tokens = [bytes.fromhex(x) for x in ranks.token_hex]
-    sent = spark.sparkContext.broadcast((dictionary, tokens))
+    sent, sent_tokens = spark.sparkContext.broadcast(dictionary), spark.sparkContext.broadcast(tokens)
+    del dictionary
 
     def look_up(batches):
         """Number each text's words in the order a task meets them; new words come with their ids or by name."""
         find, met = regex.compile(pattern).findall, _Numbers()
-        known, pieces = sent.value
+        known, pieces = sent.value, sent_tokens.value
         for batch in batches:
-            places, afresh, ids, rest = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                afresh.append(len(met) > TASK_WORDS)
-                if afresh[-1]:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                clear = len(met) > TASK_WORDS
+                if clear:
                     met.clear()
                 held = len(met)
-                words = find(text)
-                places.append(np.fromiter(map(met.__getitem__, words), np.int32, len(words)))
+                split = [find(text) for text in part.column(1).to_pylist()]
+                ends = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int32)
+                flat = np.fromiter((met[w] for words in split for w in words), np.int32, int(ends[-1]))
                 fresh = met.since(held)
                 got = known.find(fresh, pieces)
-                ids.append(got)
-                rest.append([w for w, g in zip(fresh, got) if g is None])
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in places])]).astype(np.int32)
-            flat = np.concatenate(places) if places else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(afresh, pa.bool_()),
-                 pa.array(ids, pa.list_(pa.list_(pa.int32()))), pa.array(rest, pa.list_(pa.string()))],
-                ["doc_id", "places", "afresh", "ids", "rest"])
+                # A slice's new words travel with its first row.
+                ids = [got, *[[]] * (len(split) - 1)]
+                rest = [[w for w, g in zip(fresh, got) if g is None], *[[]] * (len(split) - 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                     pa.array([clear, *[False] * (len(split) - 1)], pa.bool_()),
+                     pa.array(ids, pa.list_(pa.list_(pa.int32()))), pa.array(rest, pa.list_(pa.string()))],
+                    ["doc_id", "places", "afresh", "ids", "rest"])
 
     def assemble(batches):
         """Join each text's ids in the order of its words; the same task has numbered the words above."""
-        pieces = sent.value[1]
+        pieces = sent_tokens.value
         texts: list[str] = []
         sizes: list[int] = []
         raws: list[bytes] = []
