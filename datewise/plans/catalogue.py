@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import core, reads  # noqa: F401  reads registers with core
+
 
 def queries() -> dict:
-    return {}
+    return dict(core.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(core.SQL)
