@@ -65,3 +65,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checked_broadcast(df: DataFrame, rows: int, row_bytes: int, limit: int) -> DataFrame:
     """Hint a broadcast when the counted rows fit in `limit` bytes, else leave the join to a shuffle."""
     return F.broadcast(df) if rows * row_bytes <= limit else df
+
+
+def slices(batches, rows: int = 1024):
+    """Arrow batches cut to at most `rows` rows, so that a worker's Python objects stay few."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

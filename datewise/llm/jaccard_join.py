@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, checked_broadcast
+from .common import Scratch, checked_broadcast, slices
 
 #: Words of a shingle and similarity of a link (in hundredths) where a caller names none.
 SHINGLE_WORDS = 5
@@ -38,7 +38,7 @@ PIVOT_ROUNDS = 2
 #: Bytes of ids that may be broadcast to pick texts.
 BROADCAST_BYTES = 64 << 20
 #: Distinct words whose hashes a task remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 
 
 class _WordHashes(dict):
@@ -84,7 +84,7 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         hashes, sketch = _WordHashes(), np.zeros(size, dtype=np.int64)
         lane = TaskContext.get().partitionId() % 1024
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, words, hashes) for t in batch.column(1).to_pylist()]
             joined = np.concatenate(sets) if sets else np.empty(0, np.uint64)
             if len(joined) > size // 8:
@@ -136,7 +136,7 @@ def _prefixes(docs: DataFrame, words: int, similarity: int, sketch: np.ndarray)
     def run(batches):
         hashes, freq = _WordHashes(), sent.value
         mask = np.uint64(len(freq) - 1)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, words, hashes)
@@ -273,7 +273,7 @@ class _Join:
 
         def hash_sets(batches):
             hashes = _WordHashes()
-            for batch in batches:
+            for batch in slices(batches):
                 sets = [shingle_set(t, words, hashes) for t in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
@@ -282,7 +282,7 @@ class _Join:
         sets = work.put(texts.mapInArrow(hash_sets, "class binary, members binary"), f"{name}-sets")
 
         def compare(batches):
-            for batch in batches:
+            for batch in slices(batches):
                 a, b, left, right = (c.to_pylist() for c in batch.columns)
                 good = []
                 for x, y in zip(left, right):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import slices
 
 #: Tokens seen on either side.
 WINDOW = 2
@@ -52,7 +52,7 @@ def vocabulary(docs: DataFrame) -> dict[bytes, int]:
             counts.clear()
             return out
 
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(1).to_pylist():
                 counts.update(words_of(text))
             if len(counts) > 300_000:
@@ -178,7 +178,7 @@ class WindowNetwork:
 def _token_batches(batches, ids: TokenIds, size: int):
     """(targets, neighbours) of about `size` tokens, over all texts of a task and every token of each."""
     rows, held = [], 0
-    for batch in batches:
+    for batch in slices(batches):
         for text in batch.column(1).to_pylist():
             r = ids(text)
             if len(r):
@@ -243,7 +243,7 @@ def score(docs: DataFrame, known: dict[bytes, int], network: WindowNetwork) -> D
     def run(batches):
         words, flat = sent.value
         own, ids = WindowNetwork.from_flat(flat), TokenIds(words)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [ids(t) for t in batch.column(1).to_pylist()]
             totals = np.zeros(len(rows))
             at = 0

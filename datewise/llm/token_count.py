@@ -14,8 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Distinct words whose counts a task remembers; the memory is emptied beyond it.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def load_tokens(path: str) -> list[bytes]:
@@ -128,7 +130,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
 
     def count(batches):
         automaton, known = _automaton(vocabulary_path), {}
-        for batch in batches:
+        for batch in slices(batches):
             n_words, n_tokens, n_missing = [], [], []
             for text in batch.column(1).to_pylist():
                 words = text.encode("utf-8", "surrogatepass").split() if text else []
