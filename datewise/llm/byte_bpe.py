@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections import Counter
 from functools import lru_cache
 
@@ -183,34 +184,39 @@ def _word_counts(docs: DataFrame, pattern: str) -> DataFrame:
 
 
 class Dictionary:
-    """Ids of words in flat arrays, found by a 64-bit hash and confirmed by decoding."""
+    """Ids of words in flat arrays, found by a 64-bit hash and confirmed by a 32-bit one."""
 
-    def __init__(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
+    def __init__(self, hashes: np.ndarray, checks: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
         order = np.argsort(hashes, kind="stable")
         starts = (np.cumsum(sizes, dtype=np.int64) - sizes)[order]
         self.hashes, self.sizes = hashes[order], sizes[order].astype(np.uint8)
+        self.checks = checks[order].astype(np.uint32)
         self.starts = (np.cumsum(self.sizes, dtype=np.int64) - self.sizes).astype(np.int32)
         self.ids = np.empty(len(ids), np.uint16 if not len(ids) or ids.max() < 65536 else np.uint32)
         for k in range(int(self.sizes.max(initial=0))):  # the k-th token of every word that has one
             long = self.sizes > k
             self.ids[self.starts[long] + k] = ids[starts[long] + k]
 
-    def find(self, words: list[str], tokens: list[bytes]) -> list[list[int] | None]:
-        """The ids of each word, None where the dictionary lacks it."""
-        if not words:
-            return []
+    def find(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, -1 where the dictionary lacks it; all ids, one word after another)"""
         raw = [w.encode() for w in words]
-        want = np.fromiter((xxhash.xxh64_intdigest(r, 42) for r in raw), np.uint64, len(raw)).astype(np.int64)
-        at = np.searchsorted(self.hashes, want)
-        hit = at < len(self.hashes)
-        hit[hit] = self.hashes[at[hit]] == want[hit]
-        out: list[list[int] | None] = [None] * len(words)
-        for k in np.flatnonzero(hit).tolist():
-            start = int(self.starts[at[k]])
-            ids = self.ids[start:start + int(self.sizes[at[k]])].tolist()
-            if b"".join([tokens[i] for i in ids]) == raw[k]:
-                out[k] = ids
-        return out
+        want = np.fromiter(map(_hash, raw), np.uint64, len(raw)).astype(np.int64)
+        check = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw))
+        at = np.minimum(np.searchsorted(self.hashes, want), max(0, len(self.hashes) - 1))
+        if not len(self.hashes):
+            return np.full(len(raw), -1, np.int32), np.empty(0, np.int32)
+        hit = (self.hashes[at] == want) & (self.checks[at] == check)
+        at = at[hit]
+        own = self.sizes[at].astype(np.int64)
+        ends = np.cumsum(own)
+        take = np.repeat(self.starts[at] - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)
+        sizes = np.full(len(raw), -1, np.int32)
+        sizes[hit] = own
+        return sizes, self.ids[take].astype(np.int32)
+
+
+def _hash(raw: bytes) -> int:
+    return xxhash.xxh64_intdigest(raw, 42)
 
 
 def build_dictionary(docs: DataFrame, ranks: RankMap, pattern: str, most: int, work: Scratch) -> Dictionary:
@@ -223,14 +229,14 @@ def build_dictionary(docs: DataFrame, ranks: RankMap, pattern: str, most: int, w
             break
         least, held = n, held + count
     if least is None:
-        return Dictionary(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
+        return Dictionary(*[np.empty(0, np.int64)] * 4)
     encoded = words.where(F.col("n") >= least).repartition(max(1, -(-held // 20_000)), "word").select(
-        F.xxhash64("word").alias("hash"), ranks.encode(F.col("word")).alias("ids"))
+        F.xxhash64("word").alias("hash"), F.crc32(F.encode("word", "UTF-8")).alias("check"), ranks.encode(F.col("word")).alias("ids"))
     got = work.put(encoded, "dictionary").toArrow()
     ids = got.column("ids").combine_chunks()
     hashes = got.column("hash").to_numpy()
     sizes = np.diff(ids.offsets.to_numpy()).astype(np.int64)
-    out = Dictionary(hashes, sizes, ids.flatten().to_numpy())
+    out = Dictionary(hashes, got.column("check").to_numpy(), sizes, ids.flatten().to_numpy())
     work.drop("words", "dictionary")
     return out
 
@@ -262,7 +268,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str
     def look_up(batches):
         """Number each text's words in the order a task meets them; new words come with their ids or by name."""
         find, met = regex.compile(pattern).findall, _Numbers()
-        known, pieces = sent.value, sent_tokens.value
+        known = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
@@ -274,38 +280,42 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str
                 ends = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int32)
                 flat = np.fromiter((met[w] for words in split for w in words), np.int32, int(ends[-1]))
                 fresh = met.since(held)
-                got = known.find(fresh, pieces)
+                sizes, ids = known.find(fresh)
+                rest = [fresh[k] for k in np.flatnonzero(sizes < 0).tolist()]
+                empty = [[]] * (len(split) - 1)
                 # A slice's new words travel with its first row.
-                ids = [got, *[[]] * (len(split) - 1)]
-                rest = [[w for w, g in zip(fresh, got) if g is None], *[[]] * (len(split) - 1)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                      pa.array([clear, *[False] * (len(split) - 1)], pa.bool_()),
-                     pa.array(ids, pa.list_(pa.list_(pa.int32()))), pa.array(rest, pa.list_(pa.string()))],
-                    ["doc_id", "places", "afresh", "ids", "rest"])
+                     pa.array([sizes, *empty], pa.list_(pa.int32())), pa.array([ids, *empty], pa.list_(pa.int32())),
+                     pa.array([rest, *empty], pa.list_(pa.string()))],
+                    ["doc_id", "places", "afresh", "sizes", "ids", "rest"])
 
     def assemble(batches):
         """Join each text's ids in the order of its words; the same task has numbered the words above."""
         pieces = sent_tokens.value
+        decimal = [str(i) for i in range(len(pieces))]
         texts: list[str] = []
-        sizes: list[int] = []
         raws: list[bytes] = []
         for batch in batches:
             out = []
-            for clear, own, folded, at in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), batch.column(1)):
+            afresh, sizes, own, folded = (batch.column(c).to_pylist() for c in (2, 3, 4, 5))
+            for clear, sizes, own, folded, at in zip(afresh, sizes, own, folded, batch.column(1)):
                 if clear:
                     texts.clear()
-                    sizes.clear()
                     raws.clear()
-                folded = iter(folded)
-                for ids in own:
-                    ids = next(folded) if ids is None else ids
-                    texts.append(" ".join(map(str, ids)))
-                    sizes.append(len(ids))
+                folded, end = iter(folded), 0
+                for n in sizes:
+                    if n < 0:
+                        ids = next(folded)
+                    else:
+                        ids = own[end:end + n]
+                        end += n
+                    texts.append(" ".join([decimal[i] for i in ids]))
                     raws.append(b"".join([pieces[i] for i in ids]))
                 at = at.values.to_numpy().tolist()
-                out.append((sum(map(sizes.__getitem__, at)),
-                            hashlib.sha256(" ".join(map(texts.__getitem__, at)).encode()).hexdigest(),
+                line = " ".join(map(texts.__getitem__, at))
+                out.append((line.count(" ") + (line != ""), hashlib.sha256(line.encode()).hexdigest(),
                             hashlib.sha256(b"".join(map(raws.__getitem__, at))).hexdigest()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()),
@@ -313,8 +323,8 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str
 
     kind = docs.schema[id_col].dataType.simpleString()
     asked = base.mapInArrow(
-        look_up, f"doc_id {kind}, places array<int>, afresh boolean, ids array<array<int>>, rest array<string>")
-    folded = asked.select("doc_id", "places", "afresh", "ids", F.transform("rest", ranks.encode).alias("folded"))
+        look_up, f"doc_id {kind}, places array<int>, afresh boolean, sizes array<int>, ids array<int>, rest array<string>")
+    folded = asked.select("doc_id", "places", "afresh", "sizes", "ids", F.transform("rest", ranks.encode).alias("folded"))
     return folded.mapInArrow(
         assemble, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
