@@ -28,7 +28,7 @@ from .common import Scratch
 
 #: Words of the broadcast dictionary, at most: 13 bytes each and 2 or 4 more a token. A word that occurs
 #: once gains nothing from it and is left to the task that meets it.
-DICTIONARY_WORDS = 2_000_000
+DICTIONARY_WORDS = 1_000_000
 #: Longest word of the dictionary, in characters; with it the bound above is one in bytes.
 DICTIONARY_CHARS = 64
 #: Distinct words that a task remembers before it starts afresh.
