@@ -23,13 +23,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .units import SLICE_ROWS, Runs, cut, slices, split
 
 #: Bits between two entries of a rank directory.
 RANK_STEP = 512
 #: Characters of text that one shard takes, on average.
 SHARD_CHARS = 8_000_000
-#: Distinct pieces whose ids a worker remembers from task to task.
-CACHE_PIECES = 1_000_000
+#: Distinct units, and ids of units and pieces, that a worker remembers from task to task.
+CACHE_UNITS = 1_000_000
+CACHE_IDS = 16_000_000
 
 SHARD_SCHEMA = ("shard int, n_docs long, n_tokens long, doc_ids binary, null_ids long, doc_starts binary, "
                 "levels array<binary>, bitmaps array<binary>, ranks array<binary>")
@@ -114,10 +116,12 @@ class DirectlyAddressableCodes:
 
 
 class PieceEncoder:
-    """Ids of whole texts by the tokenizers library, one call per distinct piece.
+    """Ids of whole texts by the tokenizers library, which sees each distinct piece once.
 
     Merges never cross the pieces of the vocabulary's split pattern, so a
-    piece's ids do not depend on its surroundings.
+    piece's ids do not depend on its surroundings. Texts are cut into units
+    first; a unit's ids are those of its pieces. What is remembered of units and
+    pieces starts afresh beyond a bound in their number or their ids.
     """
 
     def __init__(self, tokenizer_path: str, pattern: str):
@@ -126,25 +130,47 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.pieces = regex.compile(pattern)
-        self.known: dict[str, np.ndarray] = {}
+        self.pattern, self.find = pattern, regex.compile(pattern).findall
+        self.units, self.pieces, self.runs = {}, {}, Runs()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.pieces.findall(t) for t in texts]
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        known = self.known
-        new = list({p for s in split for p in s if p not in known})
-        if new:
-            # One call for all new pieces: each is a word of its own, and word_ids tells whose a token is.
-            got = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-            raw = np.array(got.ids, dtype=np.uint32).tobytes()
-            ends = np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(new)), side="right").tolist()
-            start = 0
-            for p, end in zip(new, ends):
-                known[p] = raw[4 * start:4 * end]
-                start = end
-        return [np.frombuffer(b"".join(map(known.__getitem__, s)), dtype=np.uint32) for s in split]
+        which, starts = self.runs_of(pa.array(texts, pa.string()))
+        return [self.runs.of(which[a:b]) for a, b in zip(starts, starts[1:])]
+
+    def runs_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the runs of ids, one text after another; the first place of each text and the end)"""
+        units, codes, starts = cut(texts, self.pattern)
+        return self._numbers(units)[codes], starts
+
+    def _numbers(self, units: list[str]) -> np.ndarray:
+        """The number of each unit's run of ids."""
+        if len(self.units) > CACHE_UNITS or self.runs.filled > CACHE_IDS:
+            self.units, self.pieces, self.runs = {}, {}, Runs()
+        known, pieces = self.units, self.pieces
+        fresh = [u for u in units if u not in known]
+        if fresh:
+            # Flat lists: millions of short ones would keep the garbage collector busy.
+            flat, counts = split(fresh, self.find)
+            self._encode(list({p for p in flat if p not in pieces}))
+            numbers = np.fromiter(map(pieces.__getitem__, flat), np.int64, len(flat))
+            joined, at = counts != 1, np.concatenate([[0], np.cumsum(counts)])
+            own = self.runs.n + np.cumsum(joined) - 1
+            own[~joined] = numbers[at[:-1][~joined]]
+            inner = numbers[np.repeat(joined, counts)]
+            ends = np.concatenate([[0], np.cumsum(self.runs.sizes[inner], dtype=np.int64)])
+            at = np.concatenate([[0], np.cumsum(counts[joined])])
+            self.runs.add(np.diff(ends[at]), self.runs.of(inner))
+            known.update(zip(fresh, own.tolist()))
+        return np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+
+    def _encode(self, new: list[str]) -> None:
+        if not new:
+            return
+        # One call for all new pieces: each is a word of its own, and word_ids tells whose a token is.
+        got = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
+        sizes = np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(new))
+        self.pieces.update(zip(new, range(self.runs.n, self.runs.n + len(new))))
+        self.runs.add(sizes, np.array(got.ids, dtype=np.uint32))
 
 
 _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
@@ -176,16 +202,28 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, pattern: str,
     def encode(batches):
         encoder = _encoder(tokenizer_path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                tail = np.array([] if end_id is None else [end_id], dtype=np.uint32)
-                rows = [np.concatenate([x, tail]) for x in encoder(texts)]
-                wide = [x.astype("<u2") if not len(x) or x.max() < 65536 else x.astype("<u4") for x in rows]
-                places = [0 if i is None else int(np.searchsorted(limits, i, side="right")) for i in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(places, pa.int32()), part.column(0), pa.array([x.itemsize for x in wide], pa.int32()),
-                     pa.array([x.tobytes() for x in wide], pa.binary())], ["shard", "doc_id", "width", "ids"])
+            for part in slices(batch, 1):
+                which, starts = encoder.runs_of(part.column(1))
+                for at in range(0, part.num_rows, SLICE_ROWS):
+                    yield rows(part.column(0).slice(at, SLICE_ROWS), encoder.runs, which, starts[at:at + SLICE_ROWS + 1])
+
+    def rows(doc_ids, runs, which, starts):
+        which = which[starts[0]:starts[-1]]
+        ids, tail = runs.of(which), 0 if end_id is None else 1
+        ends = np.concatenate([[0], np.cumsum(runs.sizes[which], dtype=np.int64)])[starts - starts[0]]
+        ends += tail * np.arange(len(ends))
+        tokens = np.full(int(ends[-1]), end_id or 0, dtype="<u4" if max(ids.max(initial=0), end_id or 0) > 65535 else "<u2")
+        own = np.ones(len(tokens), dtype=bool)
+        if tail:
+            own[ends[1:] - 1] = False
+        tokens[own] = ids
+        packed = pa.Array.from_buffers(pa.large_binary(), len(doc_ids), [
+            None, pa.py_buffer((ends * tokens.itemsize).astype(np.int64)), pa.py_buffer(tokens)]).cast(pa.binary())
+        places = np.searchsorted(limits, doc_ids.fill_null(0).to_numpy(), side="right")
+        places[doc_ids.is_null().to_numpy(zero_copy_only=False)] = 0
+        return pa.RecordBatch.from_arrays(
+            [pa.array(places.astype(np.int32)), doc_ids, pa.array(np.full(len(doc_ids), tokens.itemsize, np.int32)), packed],
+            ["shard", "doc_id", "width", "ids"])
 
     def build(batches):
         shard, ids, rows = None, [], []
