@@ -23,15 +23,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .units import SLICE_ROWS, Runs, cut, slices, split
+from .units import SLICE_ROWS, Runs, matches, slices
 
 #: Bits between two entries of a rank directory.
 RANK_STEP = 512
 #: Characters of text that one shard takes, on average.
 SHARD_CHARS = 8_000_000
-#: Distinct units, and ids of units and pieces, that a worker remembers from task to task.
-CACHE_UNITS = 1_000_000
-CACHE_IDS = 16_000_000
+#: Distinct pieces, and their ids, that a worker remembers from task to task.
+CACHE_PIECES = 700_000
+CACHE_IDS = 8_000_000
 
 SHARD_SCHEMA = ("shard int, n_docs long, n_tokens long, doc_ids binary, null_ids long, doc_starts binary, "
                 "levels array<binary>, bitmaps array<binary>, ranks array<binary>")
@@ -119,9 +119,8 @@ class PieceEncoder:
     """Ids of whole texts by the tokenizers library, which sees each distinct piece once.
 
     Merges never cross the pieces of the vocabulary's split pattern, so a
-    piece's ids do not depend on its surroundings. Texts are cut into units
-    first; a unit's ids are those of its pieces. What is remembered of units and
-    pieces starts afresh beyond a bound in their number or their ids.
+    piece's ids do not depend on its surroundings. What is remembered of pieces
+    starts afresh beyond a bound in their number or their ids.
     """
 
     def __init__(self, tokenizer_path: str, pattern: str):
@@ -130,8 +129,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.pattern, self.find = pattern, regex.compile(pattern).findall
-        self.units, self.pieces, self.runs = {}, {}, Runs()
+        self.pattern, self.pieces, self.runs = pattern, {}, Runs()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         which, starts = self.runs_of(pa.array(texts, pa.string()))
@@ -139,29 +137,11 @@ class PieceEncoder:
 
     def runs_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of the runs of ids, one text after another; the first place of each text and the end)"""
-        units, codes, starts = cut(texts, self.pattern)
-        return self._numbers(units)[codes], starts
-
-    def _numbers(self, units: list[str]) -> np.ndarray:
-        """The number of each unit's run of ids."""
-        if len(self.units) > CACHE_UNITS or self.runs.filled > CACHE_IDS:
-            self.units, self.pieces, self.runs = {}, {}, Runs()
-        known, pieces = self.units, self.pieces
-        fresh = [u for u in units if u not in known]
-        if fresh:
-            # Flat lists: millions of short ones would keep the garbage collector busy.
-            flat, counts = split(fresh, self.find)
-            self._encode(list({p for p in flat if p not in pieces}))
-            numbers = np.fromiter(map(pieces.__getitem__, flat), np.int64, len(flat))
-            joined, at = counts != 1, np.concatenate([[0], np.cumsum(counts)])
-            own = self.runs.n + np.cumsum(joined) - 1
-            own[~joined] = numbers[at[:-1][~joined]]
-            inner = numbers[np.repeat(joined, counts)]
-            ends = np.concatenate([[0], np.cumsum(self.runs.sizes[inner], dtype=np.int64)])
-            at = np.concatenate([[0], np.cumsum(counts[joined])])
-            self.runs.add(np.diff(ends[at]), self.runs.of(inner))
-            known.update(zip(fresh, own.tolist()))
-        return np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+        found, codes, starts = matches(texts, self.pattern)
+        if len(self.pieces) > CACHE_PIECES or self.runs.filled > CACHE_IDS:
+            self.pieces, self.runs = {}, Runs()
+        self._encode([p for p in found if p not in self.pieces])
+        return np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))[codes], starts
 
     def _encode(self, new: list[str]) -> None:
         if not new:

@@ -1,9 +1,10 @@
-"""Texts cut into units: a word with the space before it, or a whole text where spaces pile up.
+"""The matches of a split pattern in whole texts, found on distinct units.
 
 Under the usual byte-level pattern a space that is followed by something other
-than white space always begins a match, so a text may be cut there before the
-pattern is applied, and the pattern is needed only for distinct units. Arrow
-does the cutting and the comparison of equal units.
+than white space always begins a match. Texts are cut there by Arrow, equal
+units are put together, and a plain unit (a word with a mark, perhaps a line
+break and another word) is taken apart by Arrow too. The pattern itself runs
+only over the other distinct units.
 """
 
 from __future__ import annotations
@@ -16,58 +17,76 @@ import regex
 #: Fixed value: the pattern for which cutting before a word's space is exact.
 SPACE_LED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text that are cut together, and texts whose ids are put together.
-SLICE_BYTES, SLICE_ROWS = 16 << 20, 512
+SLICE_BYTES, SLICE_ROWS = 8 << 20, 512
+#: Nothing or white space first, in Arrow's dialect.
+LOOSE = r"^(?:$|[\t-\r\x{85}\p{Z}])"
+#: A unit of up to five matches; only Latin letters, which every Unicode version knows.
+LATIN = r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+"
+PLAIN = rf"^(?P<a>{LATIN})(?P<b>[.,!?;:]?)(?:(?P<c>\n)(?P<d>{LATIN})(?P<e>[.,!?;:]?))?$"
 
 
-def cut(texts: pa.Array, pattern: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(distinct units, the unit of each place, the first place of each text and the end).
+def matches(texts: pa.Array, pattern: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct matches, the match at each place, the first place of each text and the end).
 
-    The matches in a text are those in its units, one unit after another. A text
-    in which a space is followed by white space or by nothing is one unit, and
-    so is every text under any other pattern. Nulls are not allowed.
+    Nulls are not allowed. A text in which a space is followed by white space or
+    by nothing is a unit by itself, and so is every text under another pattern.
     """
-    if pattern != SPACE_LED:
-        coded = texts.dictionary_encode()
-        return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.arange(len(texts) + 1)
-    lists = pc.split_pattern(texts, " ")
-    offsets = lists.offsets.to_numpy()
-    starts, coded = offsets - offsets[0], lists.flatten().dictionary_encode()
-    words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-    led = np.ones(len(codes), dtype=bool)
-    led[starts[:-1]] = False  # a text's first unit has no space before it
-    space = regex.compile(r"\s").match
-    loose = np.fromiter((not w or space(w) is not None for w in words), bool, len(words))
     if not len(texts):
-        return [], codes, starts
-    whole = np.logical_or.reduceat(loose[codes] & led, starts[:-1])
-    units = [" " + w for w in words]
-    # First units and whole texts are numbered after the led ones.
-    first: dict[str, int] = {}
-    firsts = texts.filter(pa.array(whole)).to_pylist()
-    long, ordinary = iter(firsts), iter(np.array(words, dtype=object)[codes[starts[:-1][~whole]]].tolist())
-    own = np.fromiter((first.setdefault(next(long if w else ordinary), len(first)) for w in whole.tolist()), np.int64, len(whole))
-    codes[starts[:-1]] = own + len(units)
-    if whole.any():
-        keep = ~(np.repeat(whole, np.diff(starts)) & led)
-        codes = codes[keep]
-        starts = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])[starts]
-    units += first
-    # A word that only ever begins a text leaves a led unit without a place.
-    used, codes = np.unique(codes, return_inverse=True)
-    if len(used) < len(units):
-        units = [units[k] for k in used.tolist()]
-    return units, codes, starts
-
-
-def split(units: list[str], find) -> tuple[list[str], np.ndarray]:
-    """(the matches in the units, one unit after another; how many each unit has)"""
-    flat: list[str] = []
-    counts = np.empty(len(units), np.int64)
-    for k, unit in enumerate(units):
+        return [], np.empty(0, np.int32), np.zeros(1, np.int64)
+    if pattern == SPACE_LED:
+        words, heads, codes, starts = _cut(texts)
+    else:
+        words, heads, codes, starts = pa.array([], pa.string()), texts.to_pylist(), np.arange(len(texts)), np.arange(len(texts) + 1)
+    parts = pc.extract_regex(words, PLAIN)
+    plain = parts.is_valid().to_numpy(zero_copy_only=False)
+    n = int(plain.sum())
+    columns = [x.cast(pa.string()) for x in parts.filter(pa.array(plain)).flatten()]
+    columns[0] = pc.binary_join_element_wise("", columns[0], " ")
+    rows = pa.concat_arrays(columns).take(pa.array((np.arange(n)[:, None] + n * np.arange(5)).ravel()))
+    there = pc.not_equal(rows, "").to_numpy(zero_copy_only=False)
+    rest = [" " + w for w in words.filter(pa.array(~plain)).to_pylist()] + heads
+    find, flat, own = regex.compile(pattern).findall, [], []
+    for unit in rest:
         found = find(unit)
-        counts[k] = len(found)
+        own.append(len(found))
         flat += found
-    return flat, counts
+    coded = pa.concat_arrays([rows.filter(pa.array(there)), pa.array(flat, pa.string())]).dictionary_encode()
+    # Units in the order of their runs: plain ones, other ones, heads.
+    sizes = np.concatenate([there.reshape(-1, 5).sum(1), np.array(own, dtype=np.int64)]).astype(np.int64)
+    order = np.empty(len(words) + len(heads), np.int64)
+    order[np.flatnonzero(plain)] = np.arange(n)
+    order[np.concatenate([np.flatnonzero(~plain), len(words) + np.arange(len(heads))])] = n + np.arange(len(rest))
+    which = order[codes]
+    ends = np.concatenate([[0], np.cumsum(sizes[which])])
+    found = gather(np.cumsum(sizes) - sizes, sizes, coded.indices.to_numpy(), which)
+    return coded.dictionary.to_pylist(), found, ends[starts]
+
+
+def _cut(texts: pa.Array) -> tuple[pa.Array, list[str], np.ndarray, np.ndarray]:
+    """(distinct units without their space, units that begin a text, the unit of each place, first places)"""
+    lists = pc.split_pattern(texts, " ")
+    offsets = lists.offsets.to_numpy()
+    starts, coded = (offsets - offsets[0]).astype(np.int64), lists.flatten().dictionary_encode()
+    words, codes = coded.dictionary, coded.indices.to_numpy().copy()
+    loose = pc.match_substring_regex(words, LOOSE).to_numpy(zero_copy_only=False)
+    heads = words.take(pa.array(codes[starts[:-1]])).to_pylist()
+    codes[starts[:-1]] = len(words) + np.arange(len(heads))
+    whole = np.zeros(len(texts), dtype=bool)
+    if loose.any():
+        whole = np.logical_or.reduceat(np.concatenate([loose, np.zeros(len(heads), bool)])[codes], starts[:-1])
+    if whole.any():
+        for k in np.flatnonzero(whole).tolist():
+            heads[k] = texts[k].as_py()
+        keep = ~np.repeat(whole, np.diff(starts))
+        keep[starts[:-1]] = True
+        codes, starts = codes[keep], np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])[starts]
+    # A word that only ever begins a text has no place among the led units.
+    placed = np.zeros(len(words) + len(heads), dtype=bool)
+    placed[codes] = True
+    if not placed.all():
+        words = words.filter(pa.array(placed[:len(words)]))
+        codes = (np.cumsum(placed) - 1)[codes]
+    return words, heads, codes, starts
 
 
 def slices(batch: pa.RecordBatch, column: int) -> list[pa.RecordBatch]:
