@@ -19,12 +19,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .units import SLICE_ROWS, matches, slices
 
 #: Words of the broadcast dictionary, at most: 13 bytes each and 2 or 4 more a token. A word that occurs
 #: once gains nothing from it and is left to the task that meets it.
@@ -33,8 +33,6 @@ DICTIONARY_WORDS = 1_000_000
 DICTIONARY_CHARS = 64
 #: Distinct words that a task remembers before it starts afresh.
 TASK_WORDS = 600_000
-#: Texts that share one look-up.
-SLICE_ROWS = 512
 #: "No such pair" among ranks; ids and ranks take 20 bits, the place of a byte 22.
 NO_PAIR = (1 << 20) - 1
 ID_LIMIT = 1 << 20
@@ -165,7 +163,7 @@ def _word_counts(docs: DataFrame, pattern: str) -> DataFrame:
     """How often each word occurs over all texts, combined per task before the shuffle."""
 
     def count(batches):
-        find, counts = regex.compile(pattern).findall, Counter()
+        counts = Counter()
 
         def flush():
             out = pa.RecordBatch.from_arrays(
@@ -174,10 +172,12 @@ def _word_counts(docs: DataFrame, pattern: str) -> DataFrame:
             return out
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(find(text))
-            if len(counts) > TASK_WORDS:
-                yield flush()
+            for part in slices(batch, 0):
+                found, codes, _ = matches(part.column(0), pattern)
+                for word, n in zip(found, np.bincount(codes, minlength=len(found)).tolist()):
+                    counts[word] += n
+                if len(counts) > TASK_WORDS:
+                    yield flush()
         yield flush()
 
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -267,29 +267,28 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str
 
     def look_up(batches):
         """Number each text's words in the order a task meets them; new words come with their ids or by name."""
-        find, met = regex.compile(pattern).findall, _Numbers()
-        known = sent.value
+        met, known = _Numbers(), sent.value
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for part in slices(batch, 1):
                 clear = len(met) > TASK_WORDS
                 if clear:
                     met.clear()
                 held = len(met)
-                split = [find(text) for text in part.column(1).to_pylist()]
-                ends = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int32)
-                flat = np.fromiter((met[w] for words in split for w in words), np.int32, int(ends[-1]))
+                found, codes, starts = matches(part.column(1), pattern)
+                places = np.fromiter(map(met.__getitem__, found), np.int32, len(found))[codes]
                 fresh = met.since(held)
                 sizes, ids = known.find(fresh)
                 rest = [fresh[k] for k in np.flatnonzero(sizes < 0).tolist()]
-                empty = [[]] * (len(split) - 1)
+                empty = [[]] * (part.num_rows - 1)
                 # A slice's new words travel with its first row.
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                     pa.array([clear, *[False] * (len(split) - 1)], pa.bool_()),
+                out = pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(places)),
+                     pa.array([clear, *[False] * (part.num_rows - 1)], pa.bool_()),
                      pa.array([sizes, *empty], pa.list_(pa.int32())), pa.array([ids, *empty], pa.list_(pa.int32())),
                      pa.array([rest, *empty], pa.list_(pa.string()))],
                     ["doc_id", "places", "afresh", "sizes", "ids", "rest"])
+                for at in range(0, out.num_rows, SLICE_ROWS):
+                    yield out.slice(at, SLICE_ROWS)
 
     def assemble(batches):
         """Join each text's ids in the order of its words; the same task has numbered the words above."""
