@@ -140,8 +140,12 @@ class PieceEncoder:
         found, codes, starts = matches(texts, self.pattern)
         if len(self.pieces) > CACHE_PIECES or self.runs.filled > CACHE_IDS:
             self.pieces, self.runs = {}, Runs()
-        self._encode([p for p in found if p not in self.pieces])
-        return np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))[codes], starts
+        known = list(map(self.pieces.get, found))
+        first, new = self.runs.n, [p for p, n in zip(found, known) if n is None]
+        self._encode(new)
+        numbers = np.array([-1 if n is None else n for n in known], dtype=np.int64)
+        numbers[numbers < 0] = first + np.arange(len(new))
+        return numbers[codes], starts
 
     def _encode(self, new: list[str]) -> None:
         if not new:
