@@ -98,11 +98,12 @@ class DirectlyAddressableCodes:
 
     def all(self) -> np.ndarray:
         """Every token, level by level."""
-        out, place = np.zeros(self.n, dtype=np.uint32), np.arange(self.n)
-        for level, chunks in enumerate(self.levels):
+        out, place = self.levels[0].astype(np.uint32), None
+        for level, chunks in enumerate(self.levels[1:], 1):
+            bits = np.unpackbits(self.bitmaps[level - 1], bitorder="little", count=len(self.levels[level - 1]))
+            more = np.flatnonzero(bits)
+            place = more if place is None else place[more]
             out[place] |= chunks.astype(np.uint32) << np.uint32(8 * level)
-            if level < len(self.bitmaps):
-                place = place[np.unpackbits(self.bitmaps[level], bitorder="little")[:len(chunks)].astype(bool)]
         return out
 
     def to_binary(self) -> tuple[list[bytes], list[bytes], list[bytes]]:
