@@ -31,8 +31,10 @@ from .units import SLICE_ROWS, matches, slices
 DICTIONARY_WORDS = 1_000_000
 #: Longest word of the dictionary, in characters; with it the bound above is one in bytes.
 DICTIONARY_CHARS = 64
-#: Distinct words that a task remembers before it starts afresh.
-TASK_WORDS = 600_000
+#: Distinct words that a counting task combines, and that a look-up remembers, before it starts afresh.
+COUNT_WORDS, TASK_WORDS = 600_000, 250_000
+#: Bytes of text that share one look-up.
+LOOK_UP_BYTES = 4 << 20
 #: "No such pair" among ranks; ids and ranks take 20 bits, the place of a byte 22.
 NO_PAIR = (1 << 20) - 1
 ID_LIMIT = 1 << 20
@@ -176,7 +178,7 @@ def _word_counts(docs: DataFrame, pattern: str) -> DataFrame:
                 found, codes, _ = matches(part.column(0), pattern)
                 for word, n in zip(found, np.bincount(codes, minlength=len(found)).tolist()):
                     counts[word] += n
-                if len(counts) > TASK_WORDS:
+                if len(counts) > COUNT_WORDS:
                     yield flush()
         yield flush()
 
@@ -269,7 +271,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str
         """Number each text's words in the order a task meets them; new words come with their ids or by name."""
         met, known = _Numbers(), sent.value
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, LOOK_UP_BYTES):
                 clear = len(met) > TASK_WORDS
                 if clear:
                     met.clear()

@@ -89,13 +89,13 @@ def _cut(texts: pa.Array) -> tuple[pa.Array, list[str], np.ndarray, np.ndarray]:
     return words, heads, codes, starts
 
 
-def slices(batch: pa.RecordBatch, column: int) -> list[pa.RecordBatch]:
-    """The batch cut so that a part holds at most SLICE_BYTES of text, or a single row."""
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> list[pa.RecordBatch]:
+    """The batch cut so that a part holds at most `most` bytes of text, or a single row."""
     ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64)
     parts, at = [], 0
     while at < batch.num_rows:
         held = ends[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(ends, held + SLICE_BYTES, side="right")))
+        end = max(at + 1, int(np.searchsorted(ends, held + most, side="right")))
         parts.append(batch.slice(at, end - at))
         at = end
     return parts
