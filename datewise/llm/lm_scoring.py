@@ -5,6 +5,11 @@ and never sees the token itself. Each task trains on all of its texts by
 mini-batch gradient steps from the same start; the tasks' steps are averaged by
 tokens, in fixed-point numbers so that the sum has no order. A document's score
 is the sum of the log-probabilities of all its tokens given their contexts.
+
+The most frequent words have ids of their own; every other word belongs to one
+of UNKNOWN classes, whose probability the network gives. Within its class it has
+a log-probability of its own, from a table of all words of the corpus that stays
+distributed and grows with it.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import Scratch, slices
 
 #: Tokens seen on either side.
 WINDOW = 2
@@ -34,14 +39,19 @@ LEARNING_RATE = 0.08
 #: Passes over the corpus; the steps of all tasks are averaged after each.
 ROUNDS = 1
 FIXED_POINT = 2.0 ** 32
+#: Words of a class that occur this often have a share of their own; the others share what is left by their bytes.
+MIN_COUNT = 2
+#: What every such word cedes of its count to the words that are rarer.
+DISCOUNT = 0.75
+TAIL_POINT = 2.0 ** 20
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def vocabulary(docs: DataFrame) -> dict[bytes, int]:
-    """Ids of the most frequent words over all texts; what reaches the driver is the vocabulary's size."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """Every word of all texts and its count, as a written table."""
 
     def count(batches):
         counts: Counter = Counter()
@@ -59,18 +69,103 @@ def vocabulary(docs: DataFrame) -> dict[bytes, int]:
                 yield flush()
         yield flush()
 
-    room = SIDE * SIDE - UNKNOWN - 1
-    top = docs.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(
-        F.desc("n"), "word").limit(room).collect()
+    return Scratch(docs.sparkSession, "lm-words").put(
+        docs.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> dict[bytes, int]:
+    """Ids of the most frequent words over all texts; the words beyond them are left to `tail_log_probs`."""
+    counts = word_counts(docs) if counts is None else counts
+    top = counts.orderBy(F.desc("n"), "word").limit(SIDE * SIDE - UNKNOWN - 1).collect()
     return {bytes(r["word"]): UNKNOWN + 1 + i for i, r in enumerate(top)}
 
 
+def _trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(byte trigrams of all words, start of each word's); a word starts after two line breaks and ends at one."""
+    s = np.frombuffer(b"\n\n" + b"\n\n".join(words) + b"\n\n", np.uint8).astype(np.int32)
+    tri = s[:-2] << 16 | s[1:-1] << 8 | s[2:]
+    within = ~((s[1:-1] == 10) & (s[:-2] != 10))
+    sizes = np.array([len(w) + 1 for w in words])
+    return tri[within], np.cumsum(sizes) - sizes
+
+
+def tail_log_probs(counts: DataFrame, known: dict[bytes, int]) -> DataFrame:
+    """key (hash of a word), logp: log p(word | its class) in steps of 1 / TAIL_POINT, for every word without an id.
+
+    A word of count n >= MIN_COUNT has (n - DISCOUNT) / N, where N counts its
+    class; what is left of a class is spread over all words by a byte trigram
+    model of the corpus' distinct words, so that no word is without probability.
+    The table has a row per distinct word and is never gathered; the driver
+    takes UNKNOWN sums and the trigrams.
+    """
+    sent = counts.sparkSession.sparkContext.broadcast(known)
+
+    def classes(batches):
+        for batch in slices(batches):
+            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+            tail = np.array([w not in sent.value for w in words], dtype=bool)
+            group = np.array([TokenIds.of(w) for w in words], dtype=np.int64)[tail]
+            n = n[tail]
+            if len(n):
+                own = n >= MIN_COUNT
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(UNKNOWN + 1), pa.int32()),
+                     pa.array(np.bincount(group, n, UNKNOWN + 1).astype(np.int64)),
+                     pa.array(np.bincount(group[own], n[own], UNKNOWN + 1).astype(np.int64)),
+                     pa.array(np.bincount(group[own], minlength=UNKNOWN + 1))], ["class", "n", "own", "kinds"])
+
+    def spell(batches):
+        for batch in slices(batches):
+            words = [w for w in batch.column(0).to_pylist() if w not in sent.value]
+            if words:
+                tri, n = np.unique(_trigrams(words)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(tri, pa.int32()), pa.array(n, pa.int64())], ["tri", "n"])
+
+    size, left = np.ones(UNKNOWN + 1), np.ones(UNKNOWN + 1)
+    for r in counts.mapInArrow(classes, "class int, n long, own long, kinds long").groupBy("class").agg(
+            F.sum("n").alias("n"), F.sum("own").alias("own"), F.sum("kinds").alias("kinds")).collect():
+        if r["n"]:
+            size[r["class"]] = r["n"]
+            left[r["class"]] = max((r["n"] - r["own"] + DISCOUNT * r["kinds"]) / r["n"], 1e-9)
+    seen = counts.mapInArrow(spell, "tri int, n long").groupBy("tri").agg(F.sum("n").alias("n")).toArrow()
+    tri, times = seen.column(0).to_numpy(), seen.column(1).to_numpy()
+    order = np.argsort(tri)
+    tri, times = tri[order], times[order]
+    pairs, at = np.unique(tri >> 8, return_inverse=True)
+    after = np.bincount(at, times, len(pairs))
+    shape = counts.sparkSession.sparkContext.broadcast(
+        (tri, np.log((times + 1) / (after[at] + 256)), size, left))
+
+    def run(batches):
+        tri, logs, size, left = shape.value
+        for batch in slices(batches):
+            pairs = [(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                     if w not in sent.value]
+            if not pairs:
+                continue
+            words = [w for w, _ in pairs]
+            n = np.array([n for _, n in pairs], dtype=np.float64)
+            group = np.array([TokenIds.of(w) for w in words])
+            grams, starts = _trigrams(words)
+            bytewise = np.add.reduceat(logs[np.searchsorted(tri, grams)], starts)
+            p = np.where(n >= MIN_COUNT, n - DISCOUNT, 0) / size[group]
+            logp = np.logaddexp(np.log(np.maximum(p, 1e-300)), np.log(left[group]) + bytewise)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(words, pa.binary()), pa.array(np.rint(logp * TAIL_POINT).astype(np.int64))], ["word", "logp"])
+
+    return counts.mapInArrow(run, "word binary, logp long").select(F.xxhash64("word").alias("key"), "logp")
+
+
 class TokenIds(dict):
     """Word to id; words outside the vocabulary share UNKNOWN ids by hash."""
 
-    def __missing__(self, word: bytes) -> int:
+    @staticmethod
+    def of(word: bytes) -> int:
         return 1 + zlib.crc32(word) % UNKNOWN
 
+    def __missing__(self, word: bytes) -> int:
+        return self.of(word)
+
     def __call__(self, text: str | None) -> np.ndarray:
         parts = words_of(text)
         return np.fromiter(map(self.__getitem__, parts), dtype=np.int64, count=len(parts))
@@ -167,20 +262,46 @@ class WindowNetwork:
             self.to_word[c] -= rate * 8 * (hc.T @ q) / max(len(own), 32)
         self.to_class -= rate * 8 * grad_class
         back = back[:, :WIDTH] * (1 - h[:, :WIDTH] ** 2)
-        words = SIDE * SIDE
         for k in range(near.shape[1]):
-            ids = near[:, k]
-            times = np.bincount(ids, minlength=words)
-            total = np.stack([np.bincount(ids, weights=back[:, j], minlength=words) for j in range(WIDTH)], axis=1)
-            self.embed[k] -= (rate * total / np.sqrt(np.maximum(times, 1) * 8.0)[:, None]).astype(np.float32)
+            order = np.argsort(near[:, k], kind="stable")
+            ids = near[order, k]
+            starts = np.flatnonzero(np.diff(ids, prepend=-1))
+            times = np.diff(starts, append=n)
+            total = np.add.reduceat(back[order], starts, axis=0)
+            self.embed[k][ids[starts]] -= (rate * total / np.sqrt(times * 8.0)[:, None]).astype(np.float32)
 
 
-def _token_batches(batches, ids: TokenIds, size: int):
+def encode(docs: DataFrame, known: dict[bytes, int]) -> DataFrame:
+    """One row per input row, written: row, doc_id, ids (16-bit numbers), tail (the words without an id of their own)."""
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        ids = TokenIds(sent.value)
+        for batch in slices(batches):
+            coded, tail, ends = [], [], [0]
+            for text in batch.column(1).to_pylist():
+                parts = words_of(text)
+                r = np.fromiter(map(ids.__getitem__, parts), dtype=np.int16, count=len(parts))
+                coded.append(r.tobytes())
+                tail += [parts[k] for k in np.flatnonzero(r <= UNKNOWN)]
+                ends.append(len(tail))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(coded, pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tail, pa.binary()))],
+                ["doc_id", "ids", "tail"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return Scratch(docs.sparkSession, "lm-ids").put(
+        docs.mapInArrow(run, f"doc_id {kind}, ids binary, tail array<binary>").withColumn(
+            "row", F.monotonically_increasing_id()), "ids")
+
+
+def _token_batches(batches, size: int):
     """(targets, neighbours) of about `size` tokens, over all texts of a task and every token of each."""
     rows, held = [], 0
     for batch in slices(batches):
-        for text in batch.column(1).to_pylist():
-            r = ids(text)
+        for coded in batch.column(0).to_pylist():
+            r = np.frombuffer(coded, np.int16).astype(np.int64)
             if len(r):
                 rows.append(r)
                 held += len(r)
@@ -202,15 +323,20 @@ def train(docs: DataFrame, known: dict[bytes, int], rounds: int = ROUNDS) -> Win
     are taken in whole numbers by Spark's aggregation and only one network
     reaches the driver.
     """
+    return _train_ids(encode(docs, known), rounds)
+
+
+def _train_ids(coded: DataFrame, rounds: int) -> WindowNetwork:
     network = WindowNetwork.start()
-    context = docs.sparkSession.sparkContext
+    context = coded.sparkSession.sparkContext
+    texts = coded.select("ids")
     for _ in range(rounds):
-        sent = context.broadcast((known, network.flat()))
+        sent = context.broadcast(network.flat())
 
         def learn(batches):
-            words, start = sent.value
-            own, ids, tokens = WindowNetwork.from_flat(start), TokenIds(words), 0
-            for target, near in _token_batches(batches, ids, BATCH):
+            start = sent.value
+            own, tokens = WindowNetwork.from_flat(start), 0
+            for target, near in _token_batches(batches, BATCH):
                 own.step(target, near, LEARNING_RATE)
                 tokens += len(target)
             if tokens:
@@ -220,7 +346,7 @@ def train(docs: DataFrame, known: dict[bytes, int], rounds: int = ROUNDS) -> Win
                     [pa.array(np.arange(-1, len(moved)), pa.int32()),
                      pa.array(np.concatenate([[weight], moved * weight]), pa.int64())], ["place", "total"])
 
-        sums = docs.mapInArrow(learn, "place int, total long").groupBy("place").agg(
+        sums = texts.mapInArrow(learn, "place int, total long").groupBy("place").agg(
             F.sum(F.col("total").cast("decimal(38,0)")).alias("total")).collect()
         if not sums:
             return network
@@ -233,47 +359,69 @@ def train(docs: DataFrame, known: dict[bytes, int], rounds: int = ROUNDS) -> Win
     return network
 
 
+def _totals(rows: list[np.ndarray], own: WindowNetwork) -> np.ndarray:
+    totals = np.zeros(len(rows))
+    at = 0
+    while at < len(rows):  # some texts at a time, so memory follows BATCH and the longest text
+        end, held = at, 0
+        while end < len(rows) and (held == 0 or held + len(rows[end]) <= BATCH):
+            held += len(rows[end])
+            end += 1
+        target, near, owner = contexts(rows[at:end])
+        for k in range(0, len(target), BATCH):
+            totals[at:end] += np.bincount(
+                owner[k:k + BATCH], weights=own.log_prob(target[k:k + BATCH], near[k:k + BATCH]), minlength=end - at)
+        at = end
+    return totals
+
+
 def score(docs: DataFrame, known: dict[bytes, int], network: WindowNetwork) -> DataFrame:
     """One row per input row: doc_id, n_tokens, pll (sum of log-probabilities), pll_mean.
 
-    Null, empty and blank texts have no tokens, pll 0 and pll_mean null.
+    The network's part alone: of a word without an id, the probability of its
+    class. Null, empty and blank texts have no tokens, pll 0 and pll_mean null.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((known, network.flat()))
+    return _with_mean(_score_ids(encode(docs, known), network))
+
+
+def _score_ids(coded: DataFrame, network: WindowNetwork) -> DataFrame:
+    sent = coded.sparkSession.sparkContext.broadcast(network.flat())
 
     def run(batches):
-        words, flat = sent.value
-        own, ids = WindowNetwork.from_flat(flat), TokenIds(words)
+        own = WindowNetwork.from_flat(sent.value)
         for batch in slices(batches):
-            rows = [ids(t) for t in batch.column(1).to_pylist()]
-            totals = np.zeros(len(rows))
-            at = 0
-            while at < len(rows):  # some texts at a time, so memory follows BATCH and the longest text
-                end, held = at, 0
-                while end < len(rows) and (held == 0 or held + len(rows[end]) <= BATCH):
-                    held += len(rows[end])
-                    end += 1
-                target, near, owner = contexts(rows[at:end])
-                for k in range(0, len(target), BATCH):
-                    totals[at:end] += np.bincount(
-                        owner[k:k + BATCH], weights=own.log_prob(target[k:k + BATCH], near[k:k + BATCH]), minlength=end - at)
-                at = end
-            sizes = [len(r) for r in rows]
+            rows = [np.frombuffer(x, np.int16).astype(np.int64) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.float64()),
-                 pa.array([t / n if n else None for t, n in zip(totals, sizes)], pa.float64())],
-                ["doc_id", "n_tokens", "pll", "pll_mean"])
+                [batch.column(0), batch.column(1), pa.array([len(r) for r in rows], pa.int64()),
+                 pa.array(_totals(rows, own), pa.float64())], ["row", "doc_id", "n_tokens", "pll"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_tokens long, pll double, pll_mean double")
+    kind = coded.schema["doc_id"].dataType.simpleString()
+    return coded.select("row", "doc_id", "ids").mapInArrow(
+        run, f"row long, doc_id {kind}, n_tokens long, pll double")
+
+
+def _with_mean(scored: DataFrame) -> DataFrame:
+    mean = F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens"))
+    return scored.select("doc_id", "n_tokens", "pll", mean.alias("pll_mean"))
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       rounds: int = ROUNDS) -> DataFrame:
     """Train on all rows and score all rows: doc_id, n_tokens, pll, pll_mean.
 
-    Texts are read whole. Ids may be null or repeat; other columns are ignored,
-    whatever their names; an empty table gives an empty result.
+    Texts are read whole. A word without an id of its own adds the
+    log-probability of its class in its context and its own within the class;
+    the words meet their table by 64-bit hash in a shuffle, whatever its size.
+    Ids may be null or repeat; other columns are ignored, whatever their names;
+    an empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    known = vocabulary(base)
-    return score(base, known, train(base, known, rounds))
+    counts = word_counts(base)
+    known = vocabulary(base, counts)
+    coded = encode(base, known)
+    network = _train_ids(coded, rounds)
+    words = coded.select("row", F.explode("tail").alias("word")).select("row", F.xxhash64("word").alias("key"))
+    tail = words.join(tail_log_probs(counts, known).hint("shuffle_hash"), "key").groupBy("row").agg(
+        F.sum("logp").alias("tail"))
+    return _with_mean(_score_ids(coded, network).join(tail, "row", "left").withColumn(
+        "pll", F.col("pll") + F.coalesce(F.col("tail") / TAIL_POINT, F.lit(0.0))))
