@@ -37,7 +37,9 @@ UNKNOWN = 63
 BATCH = 8192
 LEARNING_RATE = 0.08
 #: Passes over the corpus; the steps of all tasks are averaged after each.
-ROUNDS = 1
+ROUNDS = 4
+#: Steps of a task and round, about; texts are dealt to as many tasks as that takes, however the table is split.
+STEPS = 256
 FIXED_POINT = 2.0 ** 32
 #: Words of a class that occur this often have a share of their own; the others share what is left by their bytes.
 MIN_COUNT = 2
@@ -329,7 +331,11 @@ def train(docs: DataFrame, known: dict[bytes, int], rounds: int = ROUNDS) -> Win
 def _train_ids(coded: DataFrame, rounds: int) -> WindowNetwork:
     network = WindowNetwork.start()
     context = coded.sparkSession.sparkContext
-    texts = coded.select("ids")
+    tokens = coded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    tasks = max(1, tokens // 2 // (STEPS * BATCH))
+    # Dealt by hash and sorted, so that the network follows from the texts alone and not from the table's partitions.
+    texts = coded.select("ids").where(F.octet_length("ids") > 0).withColumn("at", F.xxhash64("ids")).repartition(
+        tasks, "at").sortWithinPartitions("at", "ids").select("ids")
     for _ in range(rounds):
         sent = context.broadcast(network.flat())
 

@@ -48,3 +48,18 @@ def test_tail_against_plain_python(spark, sf_dir):
     part = {r["doc_id"]: r["pll"] for r in lm.score(docs, known, lm.train(docs, known)).collect()}
     for i, t in zip(texts.doc_id[:50], texts.text):
         assert whole[i] - part[i] == pytest.approx(sum(logp[w] for w in lm.words_of(t) if w in tail), rel=1e-4, abs=0.01)
+
+
+def test_registered_training_learns_and_ignores_partitions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    known = lm.vocabulary(docs)
+    net = lm.train(docs.repartition(200), known)
+    assert np.array_equal(net.flat(), lm.train(docs.repartition(1), known).flat())
+    start = lm.WindowNetwork.start()
+    assert np.abs(net.embed - start.embed).max() > 0.05
+    got, blank = (lm.score(docs, known, x).toPandas() for x in (net, start))
+    assert got.pll.sum() / got.n_tokens.sum() > blank.pll.sum() / blank.n_tokens.sum() + 0.5
+    rng = np.random.default_rng(3)
+    texts = docs.toPandas()
+    texts["text"] = [" ".join(rng.permutation((t or "").split())) for t in texts.text]
+    assert got.pll.sum() > lm.score(spark.createDataFrame(texts), known, net).toPandas().pll.sum()
