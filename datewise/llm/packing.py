@@ -1,8 +1,9 @@
 """Length-bucketed batch packing with boundaries chosen by dynamic programming.
 
-The histogram of lengths over all documents is reduced to K boundaries that
-minimise padding exactly. Inside a bucket, batches hold as many documents as
-the token budget allows at the bucket's padded length.
+The histogram of lengths over all documents, a row per distinct length at every
+size, is reduced to K boundaries that minimise padding exactly. Inside a bucket,
+batches hold as many documents as the token budget allows at the bucket's padded
+length.
 """
 
 from __future__ import annotations
@@ -17,8 +18,6 @@ from .common import Scratch
 BUCKETS = 16
 #: Tokens a batch may hold, padding included.
 TOKEN_BUDGET = 32_768
-#: Distinct lengths kept apart; beyond it lengths are rounded up to a geometric grid of this many steps.
-MAX_DISTINCT = 1 << 17
 #: Rows of one bucket numbered by a single task, on average.
 ROWS_PER_SLICE = 50_000
 
@@ -94,18 +93,9 @@ def pack(
         F.col(id_col).alias("doc_id"), tokens.cast("long").alias("n_tokens"),
         F.xxhash64(F.col(text_col)).alias("tie"), *[F.col(c).alias(f"keep_{c}") for c in keep]), "rows")
 
-    distinct = rows.select("n_tokens").distinct().count()
-    top = rows.agg(F.max("n_tokens")).first()[0] or 0
-    if distinct > MAX_DISTINCT:
-        ratio = max(top, 2) ** (1 / MAX_DISTINCT)
-        rung = F.ceil(F.log(F.greatest(F.col("n_tokens"), F.lit(1))) / float(np.log(ratio)))
-        rounded = F.least(F.greatest(F.ceil(F.pow(F.lit(ratio), rung)), F.col("n_tokens")), F.lit(top)).cast("long")
-    else:
-        rounded = F.col("n_tokens")
-    histogram = rows.groupBy(rounded.alias("len")).count().collect()
-    bounds = optimal_boundaries(np.array([r["len"] for r in histogram], dtype=np.int64),
-                                np.array([r["count"] for r in histogram], dtype=np.int64), buckets)
-    total = sum(r["count"] for r in histogram)
+    histogram = rows.groupBy(F.col("n_tokens").alias("len")).count().toArrow()
+    bounds = optimal_boundaries(histogram["len"].to_numpy(), histogram["count"].to_numpy(), buckets)
+    total = int(histogram["count"].to_numpy().sum())
     slices = max(1, -(-total // ROWS_PER_SLICE))
 
     bucket = F.lit(0)
