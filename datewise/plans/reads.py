@@ -62,6 +62,15 @@ def employee_activity(spark, d):
     return v.unionByName(w).where("employee_id < 50")
 
 
+@register("employee_activity_all", o.query(
+    "SELECT employee_id, 'version' AS kind, version_id AS ref, valid_from AS at FROM ev UNION ALL SELECT employee_id, 'override', id, valid_from FROM ov"))
+def employee_activity_all(spark, d):
+    data = Data(spark, d)
+    v = data.versions.select("employee_id", F.lit("version").alias("kind"), F.col("version_id").alias("ref"), F.col("valid_from").alias("at"))
+    w = data.overrides.select("employee_id", F.lit("override").alias("kind"), F.col("id").alias("ref"), F.col("valid_from").alias("at"))
+    return v.unionByName(w)
+
+
 @register("group_counts", o.query(f"SELECT group_id, count(*) FILTER (WHERE {o.on(o.DAY)}) AS member_count, CASE WHEN group_id = 'click' THEN 1 ELSE 0 END AS rule_count FROM gm GROUP BY group_id"))
 def group_counts(spark, d):
     from ..operators.impact import dependencies
