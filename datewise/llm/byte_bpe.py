@@ -191,7 +191,7 @@ class Dictionary:
     def __init__(self, hashes: np.ndarray, checks: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
         order = np.argsort(hashes, kind="stable")
         starts = (np.cumsum(sizes, dtype=np.int64) - sizes)[order]
-        self.hashes, self.sizes = hashes[order], sizes[order].astype(np.uint8)
+        self.hashes, self.sizes = hashes[order], sizes[order].astype(np.uint16)
         self.checks = checks[order].astype(np.uint32)
         self.starts = (np.cumsum(self.sizes, dtype=np.int64) - self.sizes).astype(np.int32)
         self.ids = np.empty(len(ids), np.uint16 if not len(ids) or ids.max() < 65536 else np.uint32)
