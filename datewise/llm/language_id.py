@@ -11,11 +11,11 @@ sorting arrays. The order of the numbers is that of the n-grams as strings.
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +39,7 @@ def _letters() -> np.ndarray:
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     table = np.full(0x110000, _MARK, dtype=np.int64)
     numbers = np.array(points, dtype=np.int64)
-    for m in re.finditer(r"[^\W\d_]+", "".join(map(chr, points))):
+    for m in regex.finditer(r"\p{L}+", "".join(map(chr, points))):
         own = numbers[m.start():m.end()]
         table[own] = own + 2
     return table
