@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,7 +117,7 @@ class DirectlyAddressableCodes:
 
 
 class PieceEncoder:
-    """Ids of whole texts by the tokenizers library, which sees each distinct piece once.
+    """Ids of whole texts by the tokenizers library with its defaults, which sees each distinct piece once.
 
     Merges never cross the pieces of the vocabulary's split pattern, so a
     piece's ids do not depend on its surroundings. What is remembered of pieces
@@ -129,7 +129,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        names = {i: name for name, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        self.token_bytes = np.array([len(names.get(i, "")) for i in range(max(names) + 1)], np.int64)
         self.pattern, self.pieces, self.runs = pattern, {}, Runs()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
@@ -137,8 +139,25 @@ class PieceEncoder:
         return [self.runs.of(which[a:b]) for a, b in zip(starts, starts[1:])]
 
     def runs_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers of the runs of ids, one text after another; the first place of each text and the end)"""
+        """(numbers of the runs of ids, one text after another; the first place of each text and the end)
+
+        A text that holds an added token's string is one run, by the library from its whole text.
+        """
+        whole = np.zeros(len(texts), dtype=bool)
+        for content in self.added:
+            whole |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False).astype(bool)
+        if not whole.any():
+            return self._runs_of(texts)
+        which, starts = self._runs_of(pc.if_else(pa.array(whole), "", texts))
+        rows = np.flatnonzero(whole)
+        coded = [self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids for k in rows.tolist()]
+        numbers = self.runs.n + np.arange(len(rows))
+        self.runs.add(np.array([len(c) for c in coded]), np.concatenate([np.array(c, np.uint32) for c in coded]))
+        return np.insert(which, starts[rows], numbers), starts + np.concatenate([[0], np.cumsum(whole)])
+
+    def _runs_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         found, codes, starts = matches(texts, self.pattern)
+        found = found.to_pylist()
         if len(self.pieces) > CACHE_PIECES or self.runs.filled > CACHE_IDS:
             self.pieces, self.runs = {}, Runs()
         known = list(map(self.pieces.get, found))
@@ -151,11 +170,19 @@ class PieceEncoder:
     def _encode(self, new: list[str]) -> None:
         if not new:
             return
-        # One call for all new pieces: each is a word of its own, and word_ids tells whose a token is.
-        got = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-        sizes = np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(new))
+        # One call for all new pieces, each a word of its own. A byte-level token stands for as many bytes as its name
+        # has characters, which tells whose a token is; where that does not add up, word_ids does.
+        ids = np.array(self.tokenizer.encode_batch_fast([new], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+        piece_ends, token_ends = np.cumsum([len(p.encode()) for p in new]), np.cumsum(self.token_bytes[ids])
+        last = np.searchsorted(token_ends, piece_ends)
+        if len(ids) and token_ends[-1] == piece_ends[-1] and (token_ends[last] == piece_ends).all():
+            sizes = np.diff(last, prepend=-1)
+        else:
+            got = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(got.ids, dtype=np.uint32)
+            sizes = np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(new))
         self.pieces.update(zip(new, range(self.runs.n, self.runs.n + len(new))))
-        self.runs.add(sizes, np.array(got.ids, dtype=np.uint32))
+        self.runs.add(sizes, ids)
 
 
 _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}

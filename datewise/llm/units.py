@@ -21,45 +21,63 @@ SLICE_BYTES, SLICE_ROWS = 8 << 20, 512
 #: Nothing or white space first, in Arrow's dialect.
 LOOSE = r"^(?:$|[\t-\r\x{85}\p{Z}])"
 #: A unit of up to five matches; only Latin letters, which every Unicode version knows.
+MARKS = ".,!?;:"
 LATIN = r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+"
 PLAIN = rf"^(?P<a>{LATIN})(?P<b>[.,!?;:]?)(?:(?P<c>\n)(?P<d>{LATIN})(?P<e>[.,!?;:]?))?$"
 
 
-def matches(texts: pa.Array, pattern: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+def matches(texts: pa.Array, pattern: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct matches, the match at each place, the first place of each text and the end).
 
     Nulls are not allowed. A text in which a space is followed by white space or
     by nothing is a unit by itself, and so is every text under another pattern.
     """
     if not len(texts):
-        return [], np.empty(0, np.int32), np.zeros(1, np.int64)
+        return pa.array([], pa.string()), np.empty(0, np.int32), np.zeros(1, np.int64)
     if pattern == SPACE_LED:
         words, heads, codes, starts = _cut(texts)
     else:
         words, heads, codes, starts = pa.array([], pa.string()), texts.to_pylist(), np.arange(len(texts)), np.arange(len(texts) + 1)
-    parts = pc.extract_regex(words, PLAIN)
-    plain = parts.is_valid().to_numpy(zero_copy_only=False)
-    n = int(plain.sum())
+    # ASCII letters and at most one mark: no pattern is needed.
+    bare = pc.ascii_rtrim(words, MARKS)
+    marked = pc.subtract(pc.binary_length(words), pc.binary_length(bare))
+    simple = pc.and_(pc.ascii_is_alpha(bare), pc.less_equal(marked, 1)).to_numpy(zero_copy_only=False).astype(bool)
+    mask = pa.array(simple)
+    own_mark = marked.filter(mask).to_numpy() == 1
+    simple_rows, simple_there = _interleave([
+        pc.binary_join_element_wise("", bare.filter(mask), " "),
+        pc.if_else(pa.array(own_mark), pc.utf8_slice_codeunits(words.filter(mask), -1), "")])
+    others = words.filter(pa.array(~simple))
+    parts = pc.extract_regex(others, PLAIN)
+    plain = parts.is_valid().to_numpy(zero_copy_only=False).astype(bool)
     columns = [x.cast(pa.string()) for x in parts.filter(pa.array(plain)).flatten()]
     columns[0] = pc.binary_join_element_wise("", columns[0], " ")
-    rows = pa.concat_arrays(columns).take(pa.array((np.arange(n)[:, None] + n * np.arange(5)).ravel()))
-    there = pc.not_equal(rows, "").to_numpy(zero_copy_only=False)
-    rest = [" " + w for w in words.filter(pa.array(~plain)).to_pylist()] + heads
+    plain_rows, plain_there = _interleave(columns)
+    rest = [" " + w for w in others.filter(pa.array(~plain)).to_pylist()] + heads
     find, flat, own = regex.compile(pattern).findall, [], []
     for unit in rest:
         found = find(unit)
         own.append(len(found))
         flat += found
-    coded = pa.concat_arrays([rows.filter(pa.array(there)), pa.array(flat, pa.string())]).dictionary_encode()
-    # Units in the order of their runs: plain ones, other ones, heads.
-    sizes = np.concatenate([there.reshape(-1, 5).sum(1), np.array(own, dtype=np.int64)]).astype(np.int64)
-    order = np.empty(len(words) + len(heads), np.int64)
-    order[np.flatnonzero(plain)] = np.arange(n)
-    order[np.concatenate([np.flatnonzero(~plain), len(words) + np.arange(len(heads))])] = n + np.arange(len(rest))
+    coded = pa.concat_arrays([simple_rows, plain_rows, pa.array(flat, pa.string())]).dictionary_encode()
+    # Units in the order of their runs: simple ones, plain ones, other ones, heads.
+    sizes = np.concatenate([simple_there, plain_there, np.array(own, dtype=np.int64)]).astype(np.int64)
+    odd = np.flatnonzero(~simple)
+    ordered = np.concatenate([np.flatnonzero(simple), odd[plain], odd[~plain], len(words) + np.arange(len(heads))])
+    order = np.empty(len(ordered), np.int64)
+    order[ordered] = np.arange(len(ordered))
     which = order[codes]
     ends = np.concatenate([[0], np.cumsum(sizes[which])])
     found = gather(np.cumsum(sizes) - sizes, sizes, coded.indices.to_numpy(), which)
-    return coded.dictionary.to_pylist(), found, ends[starts]
+    return coded.dictionary, found, ends[starts]
+
+
+def _interleave(columns: list[pa.Array]) -> tuple[pa.Array, np.ndarray]:
+    """(the non-empty values row by row, how many each row has)"""
+    n, k = len(columns[0]), len(columns)
+    rows = pa.concat_arrays(columns).take(pa.array((np.arange(n)[:, None] + n * np.arange(k)).ravel()))
+    there = pc.not_equal(rows, "").to_numpy(zero_copy_only=False)
+    return rows.filter(pa.array(there)), there.reshape(-1, k).sum(1)
 
 
 def _cut(texts: pa.Array) -> tuple[pa.Array, list[str], np.ndarray, np.ndarray]:

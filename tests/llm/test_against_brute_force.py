@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+import regex
 
 from datewise.llm import queries as Q
 
@@ -105,7 +106,6 @@ def test_token_files_like_tokenizers(spark, sf_dir, docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(Q.vocabulary_path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     want, at = {}, 0
     for i, t in zip(docs.doc_id, docs.text):
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
@@ -121,7 +121,7 @@ def test_language_profiles(spark, sf_dir, docs):
 
     def grams(text):
         c = Counter()
-        for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        for w in regex.findall(r"\p{L}+", (text or "").lower()):
             p = f"_{w}_"
             c.update(p[i:i + n] for n in (1, 2, 3) for i in range(len(p) - n + 1) if p[i:i + n] != "_")
         return c

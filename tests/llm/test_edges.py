@@ -114,7 +114,6 @@ def test_byte_bpe_odd_characters(spark, text):
 
     path = vocabulary_path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     assert token_files.PieceEncoder(path, public_tokenizers.PATTERN)([text])[0].tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
@@ -134,6 +133,23 @@ def test_token_files(spark, odd_docs, no_docs, tmp_path):
     assert token_files.read_tokens(spark, f"{path}-none").count() == 0
 
 
+def test_added_tokens_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    path = vocabulary_path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["x", "a<|endoftext|>b  c", "", "<|endoftext|>", "plain  text", "<|endoftext|><|endoftext|> <|endoftext", "y"]
+    got = token_files.PieceEncoder(path, public_tokenizers.PATTERN)(texts)
+    assert [g.tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in got[1]
+
+
+def test_numbers_are_no_letters():
+    for text in ("½ ²", "① Ⅷ", "12 _ ,", ""):
+        assert not len(language_id.ngrams(text))
+    assert len(language_id.ngrams("½ é"))
+
+
 def test_directly_addressable_codes():
     rng = np.random.default_rng(2)
     for high in (1, 200, 70_000, 2 ** 31):
