@@ -5,41 +5,46 @@ ids to the rank of their concatenation. A fold over a word's bytes merges the
 lowest-ranked pair, leftmost first, until none is left. Distinct words are
 encoded once, as many as a bounded dictionary holds, most frequent first; the
 dictionary is broadcast as flat arrays. Any other word is folded by the same
-expression in the task that meets it. Decoding concatenates the tokens' binary
-pieces.
+expression in the slice of texts that holds it. Decoding concatenates the
+tokens' binary pieces, in the same expressions. Only words of more than
+FOLD_BYTES bytes, whose fold would take time with the square of their length,
+are merged from a heap of their pairs instead.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import zlib
-from collections import Counter
+import heapq
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .units import SLICE_ROWS, matches, slices
+from .units import gather, matches, slices
 
-#: Words of the broadcast dictionary, at most: 13 bytes each and 2 or 4 more a token. A word that occurs
-#: once gains nothing from it and is left to the task that meets it.
+#: Words of the broadcast dictionary, at most: 16 bytes each, their bytes and 2 or 4 more a token. A word that
+#: occurs once gains nothing from it and is left to the slice that holds it.
 DICTIONARY_WORDS = 1_000_000
-#: Longest word of the dictionary, in characters; with it the bound above is one in bytes.
-DICTIONARY_CHARS = 64
-#: Distinct words that a counting task combines, and that a look-up remembers, before it starts afresh.
-COUNT_WORDS, TASK_WORDS = 600_000, 250_000
+#: Longest word of the dictionary, in bytes; with it the bound above is one in bytes.
+DICTIONARY_BYTES = 64
+#: Steps between one power of two and the next, of the counts among which the dictionary's threshold is chosen.
+COUNT_STEPS = 16
 #: Bytes of text that share one look-up.
 LOOK_UP_BYTES = 4 << 20
+#: Longest word that is folded, in bytes.
+FOLD_BYTES = 512
 #: "No such pair" among ranks; ids and ranks take 20 bits, the place of a byte 22.
 NO_PAIR = (1 << 20) - 1
 ID_LIMIT = 1 << 20
 RANK_UNIT = 1 << 42
-#: Characters of a plan that Spark keeps as text; the rank literals would fill megabytes of every description.
+#: Characters of a plan that Spark keeps as text.
 PLAN_CHARS = 100_000
 
 
@@ -69,23 +74,24 @@ class RankMap:
         # A constant string is split and cast once, by the optimiser's constant folding.
         return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
-    def encode(self, word: Column) -> Column:
-        """array<int> ids of a word, by folding the ranked merges over its bytes.
+    def encode(self, words: Column) -> Column:
+        """array<array<int>>: the ids of each of an array's words, by folding the ranked merges over its bytes.
 
         The state is one array with a number per token: the rank of its pair
         with the next token, then the place of its first byte, then its id. The
         least number is therefore the leftmost pair of the lowest rank.
         """
-        keys, values = self._literal(self.keys, "bigint"), self._literal(self.values, "int")
-        shifts, byte_ids = self._literal(self.shifts, "int"), self._literal(self.byte_ids, "int")
-        slots, buckets = len(self.keys), len(self.shifts)
+        tables = F.struct(self._literal(self.keys, "bigint").alias("keys"), self._literal(self.values, "int").alias("values"),
+                          self._literal(self.shifts, "int").alias("shifts"), self._literal(self.byte_ids, "int").alias("bytes"))
+        return _let(tables, lambda t: F.transform(words, lambda word: self._encode(word, t)))
 
-        def let(value: Column, body) -> Column:
-            return F.transform(F.array(value), body)[0]
+    def _encode(self, word: Column, tables: Column) -> Column:
+        keys, values, shifts = tables["keys"], tables["values"], tables["shifts"]
+        slots, buckets = len(self.keys), len(self.shifts)
 
         def rank(key: Column) -> Column:
             place = (key % self.prime + F.get(shifts, (key % buckets).cast("int"))) % slots
-            return let(place.cast("int"), lambda at: F.when(F.get(keys, at) == key, F.get(values, at)).otherwise(F.lit(NO_PAIR)))
+            return _let(place.cast("int"), lambda at: F.when(F.get(keys, at) == key, F.get(values, at)).otherwise(F.lit(NO_PAIR)))
 
         def merge(acc, least):
             def at(p):
@@ -100,10 +106,10 @@ class RankMap:
 
                 return F.filter(F.transform(acc, fresh), lambda e: e.isNotNull())
 
-            return let(F.array_position(acc, least).cast("int"), at)
+            return _let(F.array_position(acc, least).cast("int"), at)
 
         def step(acc, _):
-            return let(F.array_min(acc), lambda least: F.when(least >= NO_PAIR * RANK_UNIT, acc).otherwise(merge(acc, least)))
+            return _let(F.array_min(acc), lambda least: F.when(least >= NO_PAIR * RANK_UNIT, acc).otherwise(merge(acc, least)))
 
         def fold(ids):
             begin = F.transform(ids, lambda x, i: rank(x.cast("bigint") * ID_LIMIT + F.get(ids, i + 1)).cast("bigint")
@@ -113,13 +119,20 @@ class RankMap:
 
         # One character per byte: ISO-8859-1 maps bytes to the first 256 code points.
         chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-        ids = F.transform(chars, lambda c: F.get(byte_ids, F.ascii(c)))
-        return let(ids, lambda x: F.when(F.size(x) > 1, fold(x)).otherwise(x))
+        ids = F.transform(chars, lambda c: F.get(tables["bytes"], F.ascii(c)))
+        return _let(ids, lambda x: F.when(F.size(x) > 1, fold(x)).otherwise(x))
+
+    def decode(self, words: Column) -> Column:
+        """array<binary>: the bytes of each of an array's words of ids, their tokens' binary pieces concatenated."""
+        def joined(pieces):
+            return F.transform(words, lambda ids: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")))
 
-    def decode(self, ids: Column) -> Column:
-        """The bytes of ids: their tokens' binary pieces, concatenated."""
-        pieces = self._literal(self.token_hex, "string")
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
+        return _let(self._literal(self.token_hex, "string"), joined)
+
+
+def _let(value: Column, body) -> Column:
+    """Evaluate `value` once and use it several times."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _perfect_hash(pairs: dict[int, int]) -> tuple[list[int], list[int], list[int], int]:
@@ -161,60 +174,76 @@ def rank_map(path: str) -> RankMap:
     return RankMap(load_ranks(path))
 
 
-def _word_counts(docs: DataFrame, pattern: str) -> DataFrame:
-    """How often each word occurs over all texts, combined per task before the shuffle."""
+class LongWords:
+    """Ranked merges of long words, leftmost pair of the lowest rank first, from a heap of pairs: O(n log n)."""
 
-    def count(batches):
-        counts = Counter()
+    def __init__(self, tokens: list[bytes]):
+        self.ranks = {t: i for i, t in enumerate(tokens) if t}
+        self.tokens = tokens
+
+    def encode(self, word: bytes) -> list[int]:
+        ids: list[int | None] = [self.ranks[word[i:i + 1]] for i in range(len(word))]
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+
+        def rank(at):
+            end = after[at]
+            return self.ranks.get(self.tokens[ids[at]] + self.tokens[ids[end]]) if end < len(ids) else None
 
-        def flush():
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-            counts.clear()
-            return out
+        pairs = [(r, at) for at in range(len(ids)) if (r := rank(at)) is not None]
+        heapq.heapify(pairs)
+        while pairs:
+            r, at = heapq.heappop(pairs)
+            if ids[at] is None or rank(at) != r:  # one of its tokens has been merged since
+                continue
+            gone = after[at]
+            ids[at], ids[gone], after[at] = r, None, after[gone]
+            if after[at] < len(ids):
+                before[after[at]] = at
+            for place in (before[at], at):
+                if place >= 0 and (fresh := rank(place)) is not None:
+                    heapq.heappush(pairs, (fresh, place))
+        return [i for i in ids if i is not None]
+
+
+def _word_counts(docs: DataFrame, pattern: str) -> DataFrame:
+    """How often each word occurs over all texts, combined per slice and by Spark before the shuffle."""
 
+    def count(batches):
         for batch in batches:
             for part in slices(batch, 0):
                 found, codes, _ = matches(part.column(0), pattern)
-                for word, n in zip(found, np.bincount(codes, minlength=len(found)).tolist()):
-                    counts[word] += n
-                if len(counts) > COUNT_WORDS:
-                    yield flush()
-        yield flush()
+                n = np.bincount(codes, minlength=len(found)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([found, pa.array(n)], ["word", "n"])
 
-    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "word string, n long").where(
+        F.octet_length("word") <= DICTIONARY_BYTES).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Dictionary:
-    """Ids of words in flat arrays, found by a 64-bit hash and confirmed by a 32-bit one."""
+    """Ids and bytes of words in flat arrays, found by a 64-bit hash and confirmed by the bytes."""
 
-    def __init__(self, hashes: np.ndarray, checks: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
+    def __init__(self, hashes: np.ndarray, words: pa.Array, sizes: np.ndarray, ids: np.ndarray):
         order = np.argsort(hashes, kind="stable")
-        starts = (np.cumsum(sizes, dtype=np.int64) - sizes)[order]
-        self.hashes, self.sizes = hashes[order], sizes[order].astype(np.uint16)
-        self.checks = checks[order].astype(np.uint32)
+        self.hashes, self.words = hashes[order], words.take(pa.array(order))
+        self.sizes = sizes[order].astype(np.uint16)
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        kind = np.uint16 if not len(ids) or ids.max() < 65536 else np.uint32
+        self.ids = gather(starts, sizes, ids.astype(kind), order)
         self.starts = (np.cumsum(self.sizes, dtype=np.int64) - self.sizes).astype(np.int32)
-        self.ids = np.empty(len(ids), np.uint16 if not len(ids) or ids.max() < 65536 else np.uint32)
-        for k in range(int(self.sizes.max(initial=0))):  # the k-th token of every word that has one
-            long = self.sizes > k
-            self.ids[self.starts[long] + k] = ids[starts[long] + k]
-
-    def find(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each word, -1 where the dictionary lacks it; all ids, one word after another)"""
-        raw = [w.encode() for w in words]
-        want = np.fromiter(map(_hash, raw), np.uint64, len(raw)).astype(np.int64)
-        check = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw))
-        at = np.minimum(np.searchsorted(self.hashes, want), max(0, len(self.hashes) - 1))
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The place of each word, -1 where the dictionary lacks it."""
         if not len(self.hashes):
-            return np.full(len(raw), -1, np.int32), np.empty(0, np.int32)
-        hit = (self.hashes[at] == want) & (self.checks[at] == check)
-        at = at[hit]
-        own = self.sizes[at].astype(np.int64)
-        ends = np.cumsum(own)
-        take = np.repeat(self.starts[at] - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)
-        sizes = np.full(len(raw), -1, np.int32)
-        sizes[hit] = own
-        return sizes, self.ids[take].astype(np.int32)
+            return np.full(len(words), -1, np.int64)
+        raw = words.cast(pa.binary())
+        want = np.fromiter(map(_hash, raw.to_pylist()), np.uint64, len(raw)).astype(np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, want), len(self.hashes) - 1)
+        same = pc.equal(self.words.take(pa.array(at)), raw).to_numpy(zero_copy_only=False)
+        return np.where(same, at, -1)
+
+    def ids_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of the words at these places, their ids one word after another)"""
+        return self.sizes[at].astype(np.int32), gather(self.starts, self.sizes, self.ids, at).astype(np.int32)
 
 
 def _hash(raw: bytes) -> int:
@@ -222,23 +251,27 @@ def _hash(raw: bytes) -> int:
 
 
 def build_dictionary(docs: DataFrame, ranks: RankMap, pattern: str, most: int, work: Scratch) -> Dictionary:
-    """Fold the distinct words of all texts, the most frequent counts that fit `most` words."""
-    words = work.put(_word_counts(docs, pattern).where(F.length("word") <= DICTIONARY_CHARS), "words")
-    by_count = sorted(((r["n"], r["count"]) for r in words.groupBy("n").count().collect()), reverse=True)
+    """Fold the distinct words of all texts, the most frequent ones that fit `most` words.
+
+    The threshold is chosen among steps of the counts' logarithm, so the driver
+    takes at most 64 * COUNT_STEPS of them.
+    """
+    step = F.floor(F.log2("n") * COUNT_STEPS)
+    words = work.put(_word_counts(docs, pattern).where("n >= 2").select("word", step.alias("step")), "words")
     least, held = None, 0
-    for n, count in by_count:
-        if n < 2 or held + count > most:
+    for r in words.groupBy("step").count().orderBy(F.desc("step")).collect():
+        if held + r["count"] > most:
             break
-        least, held = n, held + count
+        least, held = r["step"], held + r["count"]
     if least is None:
-        return Dictionary(*[np.empty(0, np.int64)] * 4)
-    encoded = words.where(F.col("n") >= least).repartition(max(1, -(-held // 20_000)), "word").select(
-        F.xxhash64("word").alias("hash"), F.crc32(F.encode("word", "UTF-8")).alias("check"), ranks.encode(F.col("word")).alias("ids"))
-    got = work.put(encoded, "dictionary").toArrow()
-    ids = got.column("ids").combine_chunks()
-    hashes = got.column("hash").to_numpy()
-    sizes = np.diff(ids.offsets.to_numpy()).astype(np.int64)
-    out = Dictionary(hashes, got.column("check").to_numpy(), sizes, ids.flatten().to_numpy())
+        return Dictionary(np.empty(0, np.int64), pa.array([], pa.binary()), *[np.empty(0, np.int64)] * 2)
+    chosen = words.where(F.col("step") >= least).repartition(max(1, -(-held // 20_000)), "word")
+    folded = chosen.select(ranks.encode(F.array("word")).alias("words"))
+    got = work.put(folded.select(F.col("words")[0].alias("ids"), ranks.decode(F.col("words"))[0].alias("bytes")),
+                   "dictionary").toArrow()
+    ids, raw = got.column("ids").combine_chunks(), got.column("bytes").combine_chunks()
+    hashes = np.fromiter(map(_hash, raw.to_pylist()), np.uint64, len(raw)).astype(np.int64)
+    out = Dictionary(hashes, raw, np.diff(ids.offsets.to_numpy()).astype(np.int64), ids.flatten().to_numpy())
     work.drop("words", "dictionary")
     return out
 
@@ -253,97 +286,106 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str
     are read whole; ids may be null or repeat; other columns are ignored,
     whatever their names; an empty table gives an empty result.
 
-    The dictionary holds the most frequent words, as many counts as fit
-    `dictionary_words`, so its broadcast is bounded; every other word is folded
-    in the task that meets it. A word of n bytes costs O(n^2).
+    The dictionary holds the most frequent words, so its broadcast is bounded by
+    `dictionary_words`; every other word is folded once in each slice of texts
+    that holds it, at a cost of O(n^2) for n bytes. A word of more than
+    FOLD_BYTES bytes takes O(n log n), so one of many megabytes is no trouble.
     """
     spark = docs.sparkSession
-    if int(spark.conf.get("spark.sql.maxPlanStringLength", "2147483632")) > PLAN_CHARS:
-        spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_CHARS))
     ranks = rank_map(rank_path)
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dictionary = build_dictionary(base, ranks, pattern, dictionary_words, Scratch(spark, "byte-bpe"))
+    work = Scratch(spark, "byte-bpe")
+    with _short_plans(spark):
+        dictionary = build_dictionary(base, ranks, pattern, dictionary_words, work)
     tokens = [bytes.fromhex(x) for x in ranks.token_hex]
     sent, sent_tokens = spark.sparkContext.broadcast(dictionary), spark.sparkContext.broadcast(tokens)
     del dictionary
 
     def look_up(batches):
-        """Number each text's words in the order a task meets them; new words come with their ids or by name."""
-        met, known = _Numbers(), sent.value
+        """One row a slice of texts: its words by number, those of the dictionary first, then long ones, then the rest."""
+        known, long_words = sent.value, None
         for batch in batches:
             for part in slices(batch, 1, LOOK_UP_BYTES):
-                clear = len(met) > TASK_WORDS
-                if clear:
-                    met.clear()
-                held = len(met)
                 found, codes, starts = matches(part.column(1), pattern)
-                places = np.fromiter(map(met.__getitem__, found), np.int32, len(found))[codes]
-                fresh = met.since(held)
-                sizes, ids = known.find(fresh)
-                rest = [fresh[k] for k in np.flatnonzero(sizes < 0).tolist()]
-                empty = [[]] * (part.num_rows - 1)
-                # A slice's new words travel with its first row.
-                out = pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(places)),
-                     pa.array([clear, *[False] * (part.num_rows - 1)], pa.bool_()),
-                     pa.array([sizes, *empty], pa.list_(pa.int32())), pa.array([ids, *empty], pa.list_(pa.int32())),
-                     pa.array([rest, *empty], pa.list_(pa.string()))],
-                    ["doc_id", "places", "afresh", "sizes", "ids", "rest"])
-                for at in range(0, out.num_rows, SLICE_ROWS):
-                    yield out.slice(at, SLICE_ROWS)
+                at = known.find(found)
+                length = pc.binary_length(found).to_numpy(zero_copy_only=False)
+                kind = np.where(at >= 0, 0, np.where(length > FOLD_BYTES, 1, 2))
+                order = np.argsort(kind, kind="stable")
+                number = np.empty(len(order), np.int32)
+                number[order] = np.arange(len(order))
+                n_known, n_long = int((kind == 0).sum()), int((kind == 1).sum())
+                sizes, ids = known.ids_of(at[order[:n_known]])
+                own = [found[k].as_py().encode() for k in order[n_known:n_known + n_long].tolist()]
+                raw = known.words.take(pa.array(at[order[:n_known]]))
+                if own:
+                    long_words = long_words or LongWords(sent_tokens.value)
+                    coded = [long_words.encode(w) for w in own]
+                    sizes = np.concatenate([sizes, np.array([len(c) for c in coded], np.int32)])
+                    ids = np.concatenate([ids, *[np.array(c, np.int32) for c in coded]])
+                    raw = pa.concat_arrays([raw, pa.array([b"".join([long_words.tokens[i] for i in c]) for c in coded], pa.binary())])
+                rest = found.take(pa.array(order[n_known + n_long:]))
+                yield pa.RecordBatch.from_arrays(
+                    [_one(part.column(0)), _one(pa.array(starts.astype(np.int32))), _one(pa.array(number[codes])),
+                     _one(pa.array(sizes)), _one(pa.array(ids)), _one(raw), _one(rest)],
+                    ["doc_ids", "starts", "codes", "sizes", "ids", "raw", "rest"])
 
     def assemble(batches):
-        """Join each text's ids in the order of its words; the same task has numbered the words above."""
-        pieces = sent_tokens.value
-        decimal = [str(i) for i in range(len(pieces))]
-        texts: list[str] = []
-        raws: list[bytes] = []
+        """Join the ids and bytes of each text's words; a row has all that its texts need."""
+        decimal = pa.array([f"{i} " for i in range(n_tokens)], pa.large_string())
         for batch in batches:
-            out = []
-            afresh, sizes, own, folded = (batch.column(c).to_pylist() for c in (2, 3, 4, 5))
-            for clear, sizes, own, folded, at in zip(afresh, sizes, own, folded, batch.column(1)):
-                if clear:
-                    texts.clear()
-                    raws.clear()
-                folded, end = iter(folded), 0
-                for n in sizes:
-                    if n < 0:
-                        ids = next(folded)
-                    else:
-                        ids = own[end:end + n]
-                        end += n
-                    texts.append(" ".join([decimal[i] for i in ids]))
-                    raws.append(b"".join([pieces[i] for i in ids]))
-                at = at.values.to_numpy().tolist()
-                line = " ".join(map(texts.__getitem__, at))
-                out.append((line.count(" ") + (line != ""), hashlib.sha256(line.encode()).hexdigest(),
-                            hashlib.sha256(b"".join(map(raws.__getitem__, at))).hexdigest()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()),
-                 pa.array([x[2] for x in out], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
+            for k in range(batch.num_rows):
+                doc_ids, starts, codes, sizes, ids, raw, folded, decoded = (c[k].values for c in batch.columns)
+                folds = np.diff(folded.offsets.to_numpy()).astype(np.int32)
+                sizes = np.concatenate([sizes.to_numpy(), folds])
+                written = decimal.take(pa.concat_arrays([ids, folded.flatten()]))
+                ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+                words = pa.Array.from_buffers(pa.large_string(), len(sizes), [
+                    None, pa.py_buffer(_offsets(written)[ends]), written.buffers()[2]])
+                starts, counts = starts.to_numpy(), sizes[codes.to_numpy()]
+                total = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[starts]
+                lines = _hashes(words, codes, starts, 1)
+                plain = _hashes(pa.concat_arrays([raw, decoded]).cast(pa.large_binary()), codes, starts, 0)
+                yield pa.RecordBatch.from_arrays(
+                    [doc_ids, pa.array(np.diff(total)), pa.array(lines, pa.string()), pa.array(plain, pa.string())],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    n_tokens = len(tokens)
     kind = docs.schema[id_col].dataType.simpleString()
     asked = base.mapInArrow(
-        look_up, f"doc_id {kind}, places array<int>, afresh boolean, sizes array<int>, ids array<int>, rest array<string>")
-    folded = asked.select("doc_id", "places", "afresh", "sizes", "ids", F.transform("rest", ranks.encode).alias("folded"))
-    return folded.mapInArrow(
+        look_up, f"doc_ids array<{kind}>, starts array<int>, codes array<int>, sizes array<int>, ids array<int>, "
+                 "raw array<binary>, rest array<string>")
+    folded = asked.withColumn("folded", ranks.encode(F.col("rest"))).drop("rest").withColumn(
+        "decoded", ranks.decode(F.col("folded")))
+    coded = folded.mapInArrow(
         assemble, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    with _short_plans(spark):  # written here, so that the session's setting need not stay changed
+        return work.put(coded, "coded")
 
 
-class _Numbers(dict):
-    """Word to its number in the order of first use."""
+@contextmanager
+def _short_plans(spark):
+    """Spark keeps a text of every plan, which the rank literals would fill with megabytes."""
+    name = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(PLAN_CHARS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        return n
 
-    def since(self, held: int) -> list[str]:
-        """Words numbered `held` and above; a dict keeps the order of insertion."""
-        if held == len(self):
-            return []
-        words = []
-        for word in reversed(self):
-            if len(words) == len(self) - held:
-                break
-            words.append(word)
-        return words[::-1]
+def _one(values: pa.Array) -> pa.Array:
+    """A list column of one row."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _offsets(values: pa.Array) -> np.ndarray:
+    return np.frombuffer(values.buffers()[1], np.int64)[values.offset:values.offset + len(values) + 1]
+
+
+def _hashes(words: pa.Array, codes: pa.Array, starts: np.ndarray, cut: int) -> list[str]:
+    """sha256 of each text's words, one after another, without the last `cut` bytes."""
+    joined = words.take(codes)
+    data, ends = joined.buffers()[2], _offsets(joined)[starts].tolist()
+    data = memoryview(data) if data is not None else memoryview(b"")
+    return [hashlib.sha256(data[a:max(a, b - cut)]).hexdigest() for a, b in zip(ends, ends[1:])]
