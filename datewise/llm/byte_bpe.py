@@ -335,16 +335,18 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str
         for batch in batches:
             for k in range(batch.num_rows):
                 doc_ids, starts, codes, sizes, ids, raw, folded, decoded = (c[k].values for c in batch.columns)
-                folds = np.diff(folded.offsets.to_numpy()).astype(np.int32)
-                sizes = np.concatenate([sizes.to_numpy(), folds])
-                written = decimal.take(pa.concat_arrays([ids, folded.flatten()]))
+                if len(folded):
+                    sizes = pa.concat_arrays([sizes, folded.value_lengths()])
+                    ids = pa.concat_arrays([ids, folded.flatten()])
+                    raw = pa.concat_arrays([raw, decoded])
+                sizes, written = sizes.to_numpy(), decimal.take(ids)
                 ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
                 words = pa.Array.from_buffers(pa.large_string(), len(sizes), [
                     None, pa.py_buffer(_offsets(written)[ends]), written.buffers()[2]])
                 starts, counts = starts.to_numpy(), sizes[codes.to_numpy()]
                 total = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[starts]
                 lines = _hashes(words, codes, starts, 1)
-                plain = _hashes(pa.concat_arrays([raw, decoded]).cast(pa.large_binary()), codes, starts, 0)
+                plain = _hashes(raw.cast(pa.large_binary()), codes, starts, 0)
                 yield pa.RecordBatch.from_arrays(
                     [doc_ids, pa.array(np.diff(total)), pa.array(lines, pa.string()), pa.array(plain, pa.string())],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
