@@ -78,7 +78,7 @@ def _similar(common: int, a: int, b: int, similarity: int) -> bool:
 
 
 def _profile(docs: DataFrame, words: int) -> DataFrame:
-    """Rows of documents (doc_id, n, class) and, per task, blocks of the frequency sketch."""
+    """Rows of documents (doc_id, n, class, text_hash) and, per task, blocks of the frequency sketch."""
     size = 1 << SKETCH_BITS
 
     def run(batches):
@@ -95,16 +95,16 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                 pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+                 batch.column(2), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         for block, part in enumerate(sketch.reshape(-1, SKETCH_BLOCK)):
             if part.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([block], pa.int32()),
+                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([block], pa.int32()),
                      pa.array([lane], pa.int32()), pa.array([zlib.compress(part.astype("<u4").tobytes(), 1)], pa.binary())], names)
 
-    names = ["doc_id", "n", "class", "block", "lane", "counts"]
-    id_type = pa.int64()
-    return docs.mapInArrow(run, "doc_id long, n long, class binary, block int, lane int, counts binary")
+    names = ["doc_id", "n", "class", "text_hash", "block", "lane", "counts"]
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        run, "doc_id long, n long, class binary, text_hash long, block int, lane int, counts binary")
 
 
 def _sum_sketch(blocks: DataFrame) -> np.ndarray:
@@ -196,7 +196,7 @@ class _Join:
 
     def prepare(self) -> None:
         profile = self.work.put(_profile(self.docs, self.words), "profile")
-        self.members = profile.where("block IS NULL").select("doc_id", "n", "class")
+        self.members = profile.where("block IS NULL").select("doc_id", "n", "class", "text_hash")
         sketch = _sum_sketch(profile.where("block IS NOT NULL"))
         rows = _prefixes(self.docs, self.words, self.similarity, sketch)
         # One row per class; the rows of a class are equal.
@@ -331,13 +331,14 @@ class _Join:
 
 def similar_components(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: int = SIMILARITY,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, class_id, component_id.
+    """One row per input row: doc_id, n_shingles, class_id, component_id, component, text_hash.
 
     Documents link when 100 * |intersection| >= similarity * |union| of their
     shingle sets. `component_id` is the smallest doc_id reachable by links, the
     document's own included; `class_id` is the smallest doc_id with the same
-    set. Null, empty and blank texts have no shingles and link with nothing,
-    each being its own component. Ids are integers; null ids are passed over
+    set. `component` tells components apart where ids are null or repeat, and
+    `text_hash` rows of one id. Null, empty and blank texts have no shingles and
+    link with nothing, each being its own component; their `component` is null. Ids are integers; null ids are passed over
     when a smallest id is sought and stay null when there is no other. Repeated
     rows are equal documents and share a class. An empty table gives an empty
     result; other columns are ignored, whatever their names.
@@ -356,8 +357,10 @@ def similar_components(docs: DataFrame, words: int = SHINGLE_WORDS, similarity:
     by_class = full.groupBy("class").agg(F.min("doc_id").alias("class_id"))
     named = by_class.join(run.labels, by_class["class"] == run.labels["node"]).select("class", "class_id", "label")
     smallest = named.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    named = named.join(smallest, "label").select("class", "class_id", "component_id")
-    linked = full.join(named, "class").select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
-    empty = run.members.where("n = 0").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    named = named.join(smallest, "label").select("class", "class_id", "component_id", "label")
+    linked = full.join(named, "class").select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id",
+                                              F.col("label").alias("component"), "text_hash")
+    own = F.col("doc_id")
+    empty = run.members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), own.alias("class_id"),
+                                              own.alias("component_id"), F.lit(None).cast("binary").alias("component"), "text_hash")
     return linked.unionByName(empty)

@@ -207,23 +207,33 @@ def secret_scan(
     id_col: str = "doc_id",
     text_col: str = "text",
     broadcast_bytes: int = BROADCAST_BYTES,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per input row: doc_id, text and spans (array of start, kind_order, end, kind).
+    """One row per input row: doc_id, text and spans (array of start, kind_order, end, kind), then `keep`.
 
     Spans of one kind are leftmost and do not overlap; spans of different kinds
     may. They are ordered by start, then by the rule's place. A null text is
     empty and has no spans. Ids may be null or repeat: a candidate id marks all
     its rows, and every row is verified on its own text. An empty table gives an
     empty result; other columns are ignored, whatever their names.
+
+    Ids travel with the postings, so they should be narrow. The candidates are
+    broadcast when the bytes of their ids and flags, as counted, fit
+    `broadcast_bytes`.
     """
     work = Scratch(docs.sparkSession, "secret-scan")
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+                       *[F.col(c).alias(f"keep_{c}") for c in keep])
     queries = [trigram_query(r.pattern) for r in rules]
     trigrams = sorted({t for q in queries for alternative in q for t in alternative})
     flags = [f"maybe_{n}" for n, q in enumerate(queries) if q]
     if trigrams:
         found = work.put(candidates(trigram_postings(base, trigrams), rules, trigrams), "candidates")
-        found = checked_broadcast(found.withColumnRenamed("doc_id", "hit_id"), found.count(), 24, broadcast_bytes)
+        id_bytes = F.sum(F.coalesce(F.octet_length(F.col("doc_id").cast("string")), F.lit(0)))
+        rows, held = found.agg(F.count("*"), F.coalesce(id_bytes, F.lit(0))).first()
+        # A hashed row takes its id, a byte a flag rounded up to words, and 24 bytes besides.
+        found = checked_broadcast(found.withColumnRenamed("doc_id", "hit_id"), 1,
+                                  held + rows * (24 + 8 * (2 + len(flags))), broadcast_bytes)
         base = base.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").drop("hit_id")
     per_rule = []
     for n, rule in enumerate(rules):
@@ -232,11 +242,12 @@ def secret_scan(
             spans = F.when(F.coalesce(F.col(f"maybe_{n}"), F.lit(False)), spans).otherwise(
                 F.array().cast("array<struct<start:bigint,kind_order:int,end:bigint,kind:string>>"))
         per_rule.append(spans)
-    return base.select("doc_id", "text", F.array_sort(F.concat(*per_rule)).alias("spans"))
+    return base.select("doc_id", "text", F.array_sort(F.concat(*per_rule)).alias("spans"),
+                       *[F.col(f"keep_{c}").alias(c) for c in keep])
 
 
 def redact(scanned: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """Replace the spans of `secret_scan` in its text by `mask`: doc_id and text.
+    """Replace the spans of `secret_scan` in its text by `mask`: the scanned columns but for spans.
 
     Overlapping spans are replaced once. Text outside the spans is untouched.
     """
@@ -250,4 +261,5 @@ def redact(scanned: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     rest = F.aggregate("spans", begin, step, lambda acc: F.concat(
         acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    return scanned.select("doc_id", F.when(F.size("spans") > 0, rest).otherwise(F.col("text")).alias("text"))
+    text = F.when(F.size("spans") > 0, rest).otherwise(F.col("text")).alias("text")
+    return scanned.select(*[text if c == "text" else F.col(c) for c in scanned.columns if c != "spans"])
