@@ -33,32 +33,61 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
-    gone = exact_dedup.exact_dedup(docs).where(~F.col("kept")).select("doc_id")
-    return _restore(_without(spark, docs, gone, "exact-copies"))
+    """Of equal texts the document with the largest id stays; of repeated rows of one id and text, one.
+
+    Null and empty texts are equal. A null id is the smallest. Rows of one id
+    with other texts are judged by themselves.
+    """
+    work, text_hash = Scratch(spark, "exact-copies"), F.sha2(F.coalesce("text", F.lit("")), 256)
+    found = work.put(exact_dedup.exact_dedup(docs).where("group_size > 1"), "found")
+    gone = found.where(~F.col("kept")).select("doc_id", F.col("text_sha256").alias("text_hash")).distinct()
+    kept = _without(docs.withColumn("text_hash", text_hash), work.put(gone, "gone"))
+    again = work.put(found.where("kept").groupBy("doc_id", F.col("text_sha256").alias("text_hash")).agg(
+        F.count("*").alias("n")).where("n > 1").drop("n"), "again")
+    if again.isEmpty():
+        return _restore(kept)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = kept.join(again, _same(kept, again), "left_semi").groupBy("doc_id", "text_hash").agg(
+        F.min("text").alias("text"), F.min(F.struct(*rest)).alias("rest"))
+    return _restore(_without(kept, again)).unionByName(_restore(one.select("doc_id", "text", "rest.*")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by five-word shingle sets that are 0.8 similar or more, the smallest id stays."""
-    gone = jaccard_join.similar_components(docs).where("doc_id <> component_id").select("doc_id")
-    return _restore(_without(spark, docs, gone, "near-copies"))
+    """Of documents connected by five-word shingle sets that are 0.8 similar or more, the smallest id stays.
+
+    Null ids go before any other; if the smallest id has several texts of the
+    component, or all ids are null, the least text hash stays. Documents without
+    words all stay.
+    """
+    work = Scratch(spark, "near-copies")
+    found = work.put(jaccard_join.similar_components(docs), "found").where("component IS NOT NULL")
+    smallest = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ties = smallest.groupBy("component").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most")).where(
+        "least <> most").select("component", "least")
+    lost = smallest.join(ties, "component").where("text_hash <> least")
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash").unionByName(
+        lost.select("doc_id", "text_hash")).distinct()
+    return _restore(_without(docs.withColumn("text_hash", F.xxhash64("text")), work.put(gone, "gone")))
+
+
+def _same(a: DataFrame, b: DataFrame):
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
 
 
-def _without(spark: SparkSession, docs: DataFrame, gone: DataFrame, label: str) -> DataFrame:
-    gone = Scratch(spark, label).put(gone.distinct(), "gone")
-    if gone.count() * 16 <= 64 << 20:
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose id and text hash are not in the written table `gone`."""
+    held = gone.agg(F.count("*"), F.max(F.octet_length(F.col("text_hash").cast("string")))).first()
+    if held[0] * (48 + (held[1] or 0)) <= 64 << 20:
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(gone, _same(docs, gone), "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace every secret by a mark; every document stays and n_chars follows the text."""
-    with_rest = docs.select(F.struct("doc_id", "lang", "source", "text").alias("row"), "text")
-    masked = secret_scan.redact(secret_scan.secret_scan(with_rest, id_col="row"))
-    text = F.when(F.col("doc_id.text").isNotNull(), F.col("text"))
-    return masked.select(
-        F.col("doc_id.doc_id").alias("doc_id"), text.alias("text"), F.col("doc_id.lang").alias("lang"),
-        F.col("doc_id.source").alias("source"), F.length(text).cast("long").alias("n_chars"))
+    """Replace every secret by a mark; every document stays and n_chars follows the text, null for null."""
+    known = docs.withColumn("has_text", F.col("text").isNotNull())
+    masked = secret_scan.redact(secret_scan.secret_scan(known, keep=("lang", "source", "has_text")))
+    text = F.when(F.col("has_text"), F.col("text"))
+    return _restore(masked.withColumns({"text": text, "n_chars": F.length(text).cast("long")}))
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
