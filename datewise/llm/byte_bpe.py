@@ -38,6 +38,8 @@ DICTIONARY_BYTES = 64
 COUNT_STEPS = 16
 #: Bytes of text that share one look-up.
 LOOK_UP_BYTES = 4 << 20
+#: Bytes of an Arrow batch between Spark and Python; a batch holds one row at least.
+BATCH_BYTES = 8 << 20
 #: Longest word that is folded, in bytes.
 FOLD_BYTES = 512
 #: "No such pair" among ranks; ids and ranks take 20 bits, the place of a byte 22.
@@ -295,7 +297,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str
     ranks = rank_map(rank_path)
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     work = Scratch(spark, "byte-bpe")
-    with _short_plans(spark):
+    with _settings(spark):
         dictionary = build_dictionary(base, ranks, pattern, dictionary_words, work)
     tokens = [bytes.fromhex(x) for x in ranks.token_hex]
     sent, sent_tokens = spark.sparkContext.broadcast(dictionary), spark.sparkContext.broadcast(tokens)
@@ -328,6 +330,8 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str
                     [_one(part.column(0)), _one(pa.array(starts.astype(np.int32))), _one(pa.array(number[codes])),
                      _one(pa.array(sizes)), _one(pa.array(ids)), _one(raw), _one(rest)],
                     ["doc_ids", "starts", "codes", "sizes", "ids", "raw", "rest"])
+                del found, codes, starts, at, length, kind, order, number, sizes, ids, raw, rest
+                pa.default_memory_pool().release_unused()
 
     def assemble(batches):
         """Join the ids and bytes of each text's words; a row has all that its texts need."""
@@ -350,6 +354,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str
                 yield pa.RecordBatch.from_arrays(
                     [doc_ids, pa.array(np.diff(total)), pa.array(lines, pa.string()), pa.array(plain, pa.string())],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            pa.default_memory_pool().release_unused()
 
     n_tokens = len(tokens)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -360,20 +365,22 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str
         "decoded", ranks.decode(F.col("folded")))
     coded = folded.mapInArrow(
         assemble, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    with _short_plans(spark):  # written here, so that the session's setting need not stay changed
+    with _settings(spark):  # written here, so that the session's settings need not stay changed
         return work.put(coded, "coded")
 
 
 @contextmanager
-def _short_plans(spark):
-    """Spark keeps a text of every plan, which the rank literals would fill with megabytes."""
-    name = "spark.sql.maxPlanStringLength"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(PLAN_CHARS))
+def _settings(spark):
+    """Short texts of plans, which the rank literals would fill with megabytes, and small Arrow batches, while this runs."""
+    own = {"spark.sql.maxPlanStringLength": str(PLAN_CHARS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {name: spark.conf.get(name) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def _one(values: pa.Array) -> pa.Array:
