@@ -9,21 +9,27 @@ is the sum of the log-probabilities of all its tokens given their contexts.
 The most frequent words have ids of their own; every other word belongs to one
 of UNKNOWN classes, whose probability the network gives. Within its class it has
 a log-probability of its own, from a table of all words of the corpus that stays
-distributed and grows with it.
+distributed and grows with it. The table's most frequent words are broadcast, a
+bounded number of them; the others meet it in a join.
+
+Texts are dealt to shards by hash, and a shard is trained by one task, so scores
+do not depend on how the table is partitioned.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, slices
+from .units import slices as byte_slices
 
 #: Tokens seen on either side.
 WINDOW = 2
@@ -34,12 +40,19 @@ SIDE = 32
 #: Classes of words outside the vocabulary, by hash; id 0 is the edge of a text.
 UNKNOWN = 63
 #: Tokens of a gradient step.
-BATCH = 8192
+BATCH = 4096
 LEARNING_RATE = 0.08
-#: Passes over the corpus; the steps of all tasks are averaged after each.
+#: Rounds of training; the steps of all shards are averaged after each. A round takes its share of the texts, so all
+#: rounds are one pass over the corpus. A corpus of fewer than ROUNDS * STEPS * BATCH tokens is passed up to ROUNDS times.
 ROUNDS = 4
-#: Steps of a task and round, about; texts are dealt to as many tasks as that takes, however the table is split.
+#: Steps of a shard and round, about.
 STEPS = 256
+#: Words of the tail whose log-probabilities are broadcast, at most, 16 bytes each.
+HOT_WORDS = 1_000_000
+#: Steps between one power of two and the next, of the counts among which the threshold of hot words is chosen.
+COUNT_STEPS = 16
+#: Bytes of text whose words are put together.
+SLICE_BYTES = 8 << 20
 FIXED_POINT = 2.0 ** 32
 #: Words of a class that occur this often have a share of their own; the others share what is left by their bytes.
 MIN_COUNT = 2
@@ -52,27 +65,31 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """Every word of all texts and its count, as a written table."""
+def _coded_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct words, the word at each place, the first place of each text and the end), as `words_of` finds them."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    offsets = lists.offsets.to_numpy()
+    coded = lists.flatten().dictionary_encode()
+    words, codes, starts = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(), offsets - offsets[0]
+    if b"" in words:  # beside white space at either end
+        there = codes != words.index(b"")
+        starts = np.concatenate([[0], np.cumsum(there)])[starts]
+        codes = codes[there]
+    return words, codes, starts
 
-    def count(batches):
-        counts: Counter = Counter()
 
-        def flush():
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-            counts.clear()
-            return out
+def word_counts(docs: DataFrame) -> DataFrame:
+    """Every word of all texts and its count, as a written table; Spark adds a task's counts up before the shuffle."""
 
-        for batch in slices(batches):
-            for text in batch.column(1).to_pylist():
-                counts.update(words_of(text))
-            if len(counts) > 300_000:
-                yield flush()
-        yield flush()
+    def count(batches):
+        for batch in batches:
+            for part in byte_slices(batch, 1, SLICE_BYTES):
+                words, codes, _ = _coded_words(part.column(1))
+                n = np.bincount(codes, minlength=len(words))
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
 
-    return Scratch(docs.sparkSession, "lm-words").put(
-        docs.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    counts = docs.mapInArrow(count, "word binary, n long").where("n > 0")
+    return Scratch(docs.sparkSession, "lm-words").put(counts.groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
 def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> dict[bytes, int]:
@@ -92,7 +109,7 @@ def _trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tail_log_probs(counts: DataFrame, known: dict[bytes, int]) -> DataFrame:
-    """key (hash of a word), logp: log p(word | its class) in steps of 1 / TAIL_POINT, for every word without an id.
+    """key (hash of a word), logp, n: log p(word | its class) in steps of 1 / TAIL_POINT, for every word without an id.
 
     A word of count n >= MIN_COUNT has (n - DISCOUNT) / N, where N counts its
     class; what is left of a class is spread over all words by a byte trigram
@@ -153,9 +170,36 @@ def tail_log_probs(counts: DataFrame, known: dict[bytes, int]) -> DataFrame:
             p = np.where(n >= MIN_COUNT, n - DISCOUNT, 0) / size[group]
             logp = np.logaddexp(np.log(np.maximum(p, 1e-300)), np.log(left[group]) + bytewise)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.binary()), pa.array(np.rint(logp * TAIL_POINT).astype(np.int64))], ["word", "logp"])
+                [pa.array(list(map(_key, words)), pa.int64()), pa.array(np.rint(logp * TAIL_POINT).astype(np.int64)),
+                 pa.array(n.astype(np.int64))], ["key", "logp", "n"])
+
+    return counts.mapInArrow(run, "key long, logp long, n long")
+
+
+def _key(word: bytes) -> int:
+    """The same number as Spark's xxhash64 of the word."""
+    h = xxhash.xxh64_intdigest(word, 42)
+    return h - (1 << 64) if h >> 63 else h
 
-    return counts.mapInArrow(run, "word binary, logp long").select(F.xxhash64("word").alias("key"), "logp")
+
+def hot_words(tail: DataFrame, most: int = HOT_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted keys, their logp) of the tail's most frequent words, as many as fit `most`.
+
+    The threshold is chosen among steps of the counts' logarithm, so the driver
+    takes at most 64 * COUNT_STEPS of them.
+    """
+    step = F.floor(F.log2("n") * COUNT_STEPS)
+    least, held = None, 0
+    for r in tail.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        if held + r["count"] > most:
+            break
+        least, held = r["step"], held + r["count"]
+    if least is None:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    got = tail.where(step >= least).select("key", "logp").toArrow()
+    keys, logp = got.column(0).to_numpy(), got.column(1).to_numpy()
+    order = np.argsort(keys)
+    return keys[order], logp[order]
 
 
 class TokenIds(dict):
@@ -273,29 +317,45 @@ class WindowNetwork:
             self.embed[k][ids[starts]] -= (rate * total / np.sqrt(times * 8.0)[:, None]).astype(np.float32)
 
 
-def encode(docs: DataFrame, known: dict[bytes, int]) -> DataFrame:
-    """One row per input row, written: row, doc_id, ids (16-bit numbers), tail (the words without an id of their own)."""
-    sent = docs.sparkSession.sparkContext.broadcast(known)
+def encode(docs: DataFrame, known: dict[bytes, int], hot: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """One row per input row, written: row, doc_id, ids (16-bit numbers), at (a hash), tail, rest.
+
+    `tail` sums the hot words' log-probabilities, `rest` has the keys of the
+    other words without an id of their own.
+    """
+    hot = (np.empty(0, np.int64), np.empty(0, np.int64)) if hot is None else hot
+    sent = docs.sparkSession.sparkContext.broadcast((known, *hot))
 
     def run(batches):
-        ids = TokenIds(sent.value)
-        for batch in slices(batches):
-            coded, tail, ends = [], [], [0]
-            for text in batch.column(1).to_pylist():
-                parts = words_of(text)
-                r = np.fromiter(map(ids.__getitem__, parts), dtype=np.int16, count=len(parts))
-                coded.append(r.tobytes())
-                tail += [parts[k] for k in np.flatnonzero(r <= UNKNOWN)]
-                ends.append(len(tail))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(coded, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tail, pa.binary()))],
-                ["doc_id", "ids", "tail"])
+        known, keys, logp = sent.value
+        numbers = TokenIds(known)
+        for batch in batches:
+            for part in byte_slices(batch, 1, SLICE_BYTES):
+                words, codes, starts = _coded_words(part.column(1))
+                number = np.fromiter(map(numbers.__getitem__, words), np.int16, len(words))
+                unknown = np.flatnonzero(number <= UNKNOWN)
+                own = np.zeros(len(words), np.int64)
+                own[unknown] = np.fromiter((_key(words[k]) for k in unknown.tolist()), np.int64, len(unknown))
+                value, missing = np.zeros(len(words), np.int64), number <= UNKNOWN
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, own[unknown]), len(keys) - 1)
+                    hit = keys[at] == own[unknown]
+                    value[unknown[hit]] = logp[at[hit]]
+                    missing[unknown[hit]] = False
+                ids = number[codes]
+                sums = np.concatenate([[0], np.cumsum(value[codes])])
+                lacking = missing[codes]
+                ends = np.concatenate([[0], np.cumsum(lacking)])[starts]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([ids[a:b].tobytes() for a, b in zip(starts, starts[1:])], pa.binary()),
+                     pa.array(np.diff(sums[starts])),
+                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(own[codes[lacking]]))],
+                    ["doc_id", "ids", "tail", "rest"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
+    coded = docs.mapInArrow(run, f"doc_id {kind}, ids binary, tail long, rest array<long>")
     return Scratch(docs.sparkSession, "lm-ids").put(
-        docs.mapInArrow(run, f"doc_id {kind}, ids binary, tail array<binary>").withColumn(
-            "row", F.monotonically_increasing_id()), "ids")
+        coded.withColumns({"row": F.monotonically_increasing_id(), "at": F.xxhash64("doc_id", "ids")}), "ids")
 
 
 def _token_batches(batches, size: int):
@@ -331,31 +391,34 @@ def train(docs: DataFrame, known: dict[bytes, int], rounds: int = ROUNDS) -> Win
 def _train_ids(coded: DataFrame, rounds: int) -> WindowNetwork:
     network = WindowNetwork.start()
     context = coded.sparkSession.sparkContext
-    tokens = coded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    tasks = max(1, tokens // 2 // (STEPS * BATCH))
-    # Dealt by hash and sorted, so that the network follows from the texts alone and not from the table's partitions.
-    texts = coded.select("ids").where(F.octet_length("ids") > 0).withColumn("at", F.xxhash64("ids")).repartition(
-        tasks, "at").sortWithinPartitions("at", "ids").select("ids")
-    for _ in range(rounds):
+    tokens = (coded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // 2
+    passes = min(rounds, max(1, -(-rounds * STEPS * BATCH // max(1, tokens))))
+    shards = max(1, tokens * passes // (rounds * STEPS * BATCH))
+    texts = coded.select("ids", "at").where(F.octet_length("ids") > 0)
+    for turn in range(rounds):
+        shares = [(turn * passes + k) % rounds for k in range(passes)]
+        own = texts.where(F.pmod("at", F.lit(rounds)).isin(shares))
+        # Dealt by hash and sorted, so that the network follows from the texts alone and not from the table's partitions.
+        own = own.repartition(shards, "at").sortWithinPartitions("at", "ids").select("ids")
         sent = context.broadcast(network.flat())
 
         def learn(batches):
             start = sent.value
-            own, tokens = WindowNetwork.from_flat(start), 0
+            moving, tokens = WindowNetwork.from_flat(start), 0
             for target, near in _token_batches(batches, BATCH):
-                own.step(target, near, LEARNING_RATE)
+                moving.step(target, near, LEARNING_RATE)
                 tokens += len(target)
             if tokens:
-                moved = np.rint((own.flat().astype(np.float64) - start) * FIXED_POINT / 1024).astype(np.int64)
+                moved = np.rint((moving.flat().astype(np.float64) - start) * FIXED_POINT / 1024).astype(np.int64)
                 weight = max(1, tokens // 1024)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(-1, len(moved)), pa.int32()),
                      pa.array(np.concatenate([[weight], moved * weight]), pa.int64())], ["place", "total"])
 
-        sums = texts.mapInArrow(learn, "place int, total long").groupBy("place").agg(
+        sums = own.mapInArrow(learn, "place int, total long").groupBy("place").agg(
             F.sum(F.col("total").cast("decimal(38,0)")).alias("total")).collect()
         if not sums:
-            return network
+            continue
         totals = {r["place"]: int(r["total"]) for r in sums}
         step = np.zeros(len(totals) - 1)
         for place, total in totals.items():
@@ -396,14 +459,14 @@ def _score_ids(coded: DataFrame, network: WindowNetwork) -> DataFrame:
     def run(batches):
         own = WindowNetwork.from_flat(sent.value)
         for batch in slices(batches):
-            rows = [np.frombuffer(x, np.int16).astype(np.int64) for x in batch.column(2).to_pylist()]
+            rows = [np.frombuffer(x, np.int16).astype(np.int64) for x in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(r) for r in rows], pa.int64()),
-                 pa.array(_totals(rows, own), pa.float64())], ["row", "doc_id", "n_tokens", "pll"])
+                [batch.column(0), batch.column(1), batch.column(2), pa.array([len(r) for r in rows], pa.int64()),
+                 pa.array(_totals(rows, own), pa.float64())], ["row", "doc_id", "tail", "n_tokens", "pll"])
 
     kind = coded.schema["doc_id"].dataType.simpleString()
-    return coded.select("row", "doc_id", "ids").mapInArrow(
-        run, f"row long, doc_id {kind}, n_tokens long, pll double")
+    return coded.select("row", "doc_id", "tail", "ids").mapInArrow(
+        run, f"row long, doc_id {kind}, tail long, n_tokens long, pll double")
 
 
 def _with_mean(scored: DataFrame) -> DataFrame:
@@ -417,17 +480,17 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Texts are read whole. A word without an id of its own adds the
     log-probability of its class in its context and its own within the class;
-    the words meet their table by 64-bit hash in a shuffle, whatever its size.
-    Ids may be null or repeat; other columns are ignored, whatever their names;
-    an empty table gives an empty result.
+    words that are not hot meet their table by 64-bit hash in a shuffle,
+    whatever its size. Ids may be null or repeat; other columns are ignored,
+    whatever their names; an empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     counts = word_counts(base)
     known = vocabulary(base, counts)
-    coded = encode(base, known)
+    tail = Scratch(docs.sparkSession, "lm-tail").put(tail_log_probs(counts, known), "tail")
+    coded = encode(base, known, hot_words(tail))
     network = _train_ids(coded, rounds)
-    words = coded.select("row", F.explode("tail").alias("word")).select("row", F.xxhash64("word").alias("key"))
-    tail = words.join(tail_log_probs(counts, known).hint("shuffle_hash"), "key").groupBy("row").agg(
-        F.sum("logp").alias("tail"))
-    return _with_mean(_score_ids(coded, network).join(tail, "row", "left").withColumn(
-        "pll", F.col("pll") + F.coalesce(F.col("tail") / TAIL_POINT, F.lit(0.0))))
+    rest = coded.select("row", F.explode("rest").alias("key")).join(
+        tail.select("key", "logp").hint("shuffle_hash"), "key").groupBy("row").agg(F.sum("logp").alias("more"))
+    return _with_mean(_score_ids(coded, network).join(rest, "row", "left").withColumn(
+        "pll", F.col("pll") + (F.col("tail") + F.coalesce("more", F.lit(0))) / TAIL_POINT))
