@@ -8,6 +8,7 @@ plain negation. A snapshot row offers the columns of `SNAPSHOT_FIELDS`,
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import json
 import math
@@ -83,13 +84,24 @@ def validate(node) -> None:
             _check(all(type(v) is int and v >= 0 for v in values), "tenure_days values are non-negative integers")
         elif fact.get("kind") == "as_of_date":
             _keys(fact, "kind")
-            _check(all(isinstance(v, str) and bool(_ISO.fullmatch(v)) for v in values), "as_of_date values are ISO dates")
+            _check(all(map(is_iso_date, values)), "as_of_date values are ISO dates")
         else:
             raise RuleError("unknown fact")
     else:
         raise RuleError("unknown condition type")
 
 
+def is_iso_date(value) -> bool:
+    """Whether a value is a day of the calendar, written year-month-day."""
+    if not (isinstance(value, str) and _ISO.fullmatch(value)):
+        return False
+    try:
+        datetime.date.fromisoformat(value)
+    except ValueError:
+        return False
+    return True
+
+
 def is_group_id(value: str) -> bool:
     try:
         return str(uuid.UUID(value)) == value.lower()
@@ -97,8 +109,22 @@ def is_group_id(value: str) -> bool:
         return False
 
 
+def _plain(value):
+    """Whole floats as integers, so that 4.0 and 4 are written alike."""
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_plain(v) for v in value]
+    return int(value) if isinstance(value, float) and value.is_integer() else value
+
+
+def content_hash(condition: dict | str) -> str:
+    node = json.loads(condition) if isinstance(condition, str) else condition
+    return hashlib.sha256(canonical_json(node).encode()).hexdigest()
+
+
 def canonical_json(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
 @dataclass(frozen=True)
@@ -347,7 +373,7 @@ def compile_rule(condition: dict | str, as_of: Column) -> CompiledRule:
     return CompiledRule(
         condition=node, predicate=_predicate(node, as_of), trace=F.array(*_trace(node, as_of, "$")),
         transition_dates=_dates(node, as_of), dependencies=[found[k] for k in sorted(found)],
-        specificity=len(_leaves(node)), content_hash=hashlib.sha256(canonical_json(node).encode()).hexdigest(),
+        specificity=len(_leaves(node)), content_hash=content_hash(node),
         selectors=[selectors[k] for k in sorted(selectors)])
 
 

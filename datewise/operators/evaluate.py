@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import datetime
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import CompiledRule, RuleCompiler, next_date
+from ..functions.rules import CompiledRule, RuleCompiler, content_hash, next_date
 from ..functions.temporal import active_on
 
 #: Specificity of a manual override, above that of any rule.
@@ -29,9 +30,17 @@ def _loaded(rule: dict, day: datetime.date) -> bool:
     return not rule["valid_to"] or datetime.date.fromisoformat(rule["valid_to"]) > day
 
 
+@lru_cache(maxsize=16)
+def _compiler(as_of: datetime.date) -> RuleCompiler:
+    """Compiled rules of a date; their Columns hold the date as a literal."""
+    return RuleCompiler(F.lit(as_of).cast("date"))
+
+
 def compiled(rules: list[dict], as_of: datetime.date) -> list[tuple[dict, CompiledRule]]:
-    compiler = RuleCompiler(F.lit(as_of).cast("date"))
-    return [(r, compiler.get(r["version_id"], r["condition"])) for r in sorted(rules, key=lambda r: r["rule_id"]) if _loaded(r, as_of)]
+    """Rules that have not ended, by rule id; a version that comes back with another condition is an error."""
+    compiler = _compiler(as_of)
+    return [(r, compiler.get(r["version_id"], r["condition"], r.get("content_hash") or content_hash(r["condition"])))
+            for r in sorted(rules, key=lambda r: r["rule_id"]) if _loaded(r, as_of)]
 
 
 def rule_candidates(snap: DataFrame, rules: list[dict], as_of: datetime.date, with_trace: bool = False) -> DataFrame:
@@ -65,7 +74,7 @@ def override_candidates(overrides: DataFrame, as_of: datetime.date) -> DataFrame
         "employee_id", "category_id", F.concat(F.lit("manual:"), F.lpad(F.col("id").cast("string"), 12, "0")).alias("candidate_id"),
         "policy_id", F.lit("MANUAL").alias("source"), "action", "priority",
         F.lit(MANUAL_SPECIFICITY).cast("long").alias("specificity"),
-        F.concat(F.lit("override "), F.col("id").cast("string")).alias("reason"), F.lit(None).cast("string").alias("trace"))
+        F.col("reason") if "reason" in overrides.columns else F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("trace"))
 
 
 def candidates(snap: DataFrame, rules: list[dict], overrides: DataFrame, as_of: datetime.date, with_trace: bool = False) -> DataFrame:

@@ -30,12 +30,16 @@ def change_summary(before: DataFrame, after: DataFrame) -> DataFrame:
         "replaced", (F.col("added") > 0) & (F.col("removed") > 0))
 
 
-def preview_facts(snap: DataFrame, proposed: DataFrame, rules, overrides, cardinality, as_of) -> DataFrame:
-    """`proposed` is the snapshot with proposed facts overlaid."""
+def preview_facts(snap: DataFrame, proposed: DataFrame, rules, overrides, cardinality, as_of, employee_id=None) -> DataFrame:
+    """`proposed` is the snapshot with proposed facts overlaid; of one employee alone if named, before anything is evaluated."""
+    if employee_id is not None:
+        snap, proposed, overrides = (x.where(F.col("employee_id") == F.lit(employee_id)) for x in (snap, proposed, overrides))
     return change_summary(outcome(snap, rules, overrides, cardinality, as_of), outcome(proposed, rules, overrides, cardinality, as_of))
 
 
-def preview_override(snap: DataFrame, rules, overrides: DataFrame, extra: DataFrame, cardinality, as_of) -> DataFrame:
+def preview_override(snap: DataFrame, rules, overrides: DataFrame, extra: DataFrame, cardinality, as_of, employee_id=None) -> DataFrame:
+    if employee_id is not None:
+        snap, overrides, extra = (x.where(F.col("employee_id") == F.lit(employee_id)) for x in (snap, overrides, extra))
     return change_summary(outcome(snap, rules, overrides, cardinality, as_of),
                           outcome(snap, rules, overrides.unionByName(extra), cardinality, as_of))
 

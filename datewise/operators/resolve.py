@@ -61,13 +61,34 @@ def rejected(judged_rows: DataFrame) -> DataFrame:
     return judged_rows.where("NOT won")
 
 
-def decisions(judged_rows: DataFrame) -> DataFrame:
-    """Evidence per scope: winners and losers as arrays, ordered by precedence-independent ids."""
+def decisions(judged_rows: DataFrame, scopes: DataFrame | None = None) -> DataFrame:
+    """Evidence per scope: winners and losers as arrays, ordered by precedence-independent ids.
+
+    Every one of `scopes` gets a row, those without any candidate one with empty
+    arrays; without `scopes`, only scopes with candidates do.
+    """
     own = [c for c in judged_rows.columns if c not in (*SCOPE, "won")]
     row = F.struct("candidate_id", *[c for c in own if c != "candidate_id"])
-    return judged_rows.groupBy(*SCOPE).agg(
+    found = judged_rows.groupBy(*SCOPE).agg(
         F.array_sort(F.collect_list(F.when(F.col("won"), row))).alias("winners"),
         F.array_sort(F.collect_list(F.when(~F.col("won"), row))).alias("rejected"))
+    if scopes is None:
+        return found
+    empty = F.array().cast(found.schema["winners"].dataType)
+    return scopes.select(*SCOPE).join(found, SCOPE, "left").withColumns(
+        {c: F.coalesce(c, empty) for c in ("winners", "rejected")})
+
+
+class ResolutionError(ValueError):
+    pass
+
+
+def resolve_category(candidates: DataFrame, category_id: str, cardinality: str) -> DataFrame:
+    """`judged` for one category; a candidate of another is an error, as nothing may be judged across categories."""
+    other = candidates.where(F.col("category_id") != category_id).select("category_id").limit(1).collect()
+    if other:
+        raise ResolutionError(f"candidates of {other[0][0]} among those of {category_id}")
+    return judged(candidates, {category_id: cardinality})
 
 
 def mixed_categories(candidates: DataFrame) -> DataFrame:

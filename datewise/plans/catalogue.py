@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import core, reads  # noqa: F401  reads registers with core
+from . import core, reads, state  # noqa: F401  the others register with core
 
 
 def queries() -> dict:

@@ -33,9 +33,16 @@ def register(name: str, sql: str | None = None):
 class Data:
     """The derived tables of one folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.versions = spark, fx.employee_versions(spark, sf_dir)
-        self.memberships, self.overrides = fx.group_memberships(spark, sf_dir), fx.manual_overrides(spark, sf_dir)
+    def __init__(self, spark: SparkSession, sf_dir: str, company_id: str | None = None):
+        """With a company, every table is filtered to it at its scan."""
+        tables = (fx.employee_versions(spark, sf_dir), fx.group_memberships(spark, sf_dir), fx.manual_overrides(spark, sf_dir))
+        if company_id is not None:
+            tables = [t.where(F.col("company_id") == F.lit(company_id)) for t in tables]
+        self.spark = spark
+        self.versions, self.memberships, self.overrides = tables
+
+    def scopes(self, day=DAY) -> DataFrame:
+        return impact.full_impact(self.snap(day), list(fx.CATEGORIES))
 
     def snap(self, day=DAY) -> DataFrame:
         return snapshots.snapshot(self.versions, self.memberships, day)
@@ -105,9 +112,9 @@ RULE_CASES = {
     "rule_ne": (compare("employment_type", "NE", "1-URGENT"), "employment_type IS DISTINCT FROM '1-URGENT'"),
     "rule_gt": (compare("attribute.level", "GT", 4), "attr_level > 4"),
     "rule_gte": (compare("hire_date", "GTE", "1995-03-01"), "coalesce(hire_date >= DATE '1995-03-01', FALSE)"),
-    "rule_lt": (compare("location", "LT", "G"), "location < 'G'"),
+    "rule_lt": (compare("location", "LT", "NATION_2"), "location < 'NATION_2'"),
     "rule_lte": (compare("attribute.status", "LTE", "F"), "coalesce(attr_status <= 'F', FALSE)"),
-    "rule_in": (compare("location", "IN", ["FRANCE", "CHINA", None]), "location IN ('FRANCE', 'CHINA')"),
+    "rule_in": (compare("employment_type", "IN", ["1-URGENT", "5-LOW", None]), "employment_type IN ('1-URGENT', '5-LOW') OR employment_type IS NULL"),
     "rule_not_in": (compare("employment_type", "NOT_IN", ["1-URGENT", "2-HIGH"]), "coalesce(employment_type NOT IN ('1-URGENT', '2-HIGH'), TRUE)"),
     "rule_type_mismatch": (compare("attribute.level", "NE", "4"), "TRUE"),
     "rule_attr_eq_number": (compare("attribute.level", "EQ", 4.0), "attr_level = 4"),
@@ -116,10 +123,11 @@ RULE_CASES = {
     "rule_attr_not_in": (compare("attribute.status", "NOT_IN", ["O", "P"]), "status_present AND coalesce(attr_status NOT IN ('O', 'P'), TRUE)"),
     "rule_tenure": (compare("tenure_days", "GT", 1000), "coalesce(tenure > 1000, FALSE)"),
     "rule_tenure_ne": (compare("tenure_days", "NE", 1000), "coalesce(tenure <> 1000, FALSE)"),
-    "rule_as_of": (compare("as_of_date", "IN", ["1999-06-30", "1999-07-01"]), "TRUE"),
+    "rule_as_of": (any_of(all_of(compare("as_of_date", "IN", ["1999-06-30", "1999-07-01"]), compare("is_manager", "EQ", True)), all_of(compare("as_of_date", "GT", "1999-06-30"), compare("is_manager", "EQ", False))), "is_manager"),
     "rule_manager": (compare("is_manager", "NE", True), "NOT is_manager"),
     "rule_external_id": (compare("external_id", "LT", "E-000000100"), "external_id < 'E-000000100'"),
-    "rule_email_null": (compare("email", "NE", "x"), "TRUE"),
+    "rule_email_null": (compare("email", "EQ", None), "email IS NULL"),
+    "rule_email": (compare("email", "NOT_IN", ["u7@example.org", None]), "email <> 'u7@example.org'"),
     "rule_member": (group("click"), "list_contains(group_ids, 'click')"),
     "rule_not_member": (group("click", "NOT_MEMBER_OF"), "NOT list_contains(group_ids, 'click')"),
     "rule_and": (all_of(compare("is_manager", "EQ", True), compare("department", "EQ", "BUILDING")), "is_manager AND department = 'BUILDING'"),
@@ -151,9 +159,19 @@ def rule_trace(spark, d):
         "employee_id", "t.path", "t.type", "t.matched", "place")
 
 
-@register("rule_dependencies")
+@register("rule_dependencies", "SELECT * FROM (VALUES " + ", ".join(f"('{v}', '{c}', '{t}', '{k}', '{p}', {m})" for v, c, t, k, p, m in (
+    ("r-any-v1", "main", "FIELD", "department", "NE", "FALSE"), ("r-urgent-v1", "main", "FIELD", "employment_type", "EQ", "TRUE"),
+    ("r-urgent-v1", "main", "ATTRIBUTE", "status", "EQ", "FALSE"), ("r-machinery-v1", "main", "FIELD", "department", "EQ", "TRUE"),
+    ("r-machinery-v1", "main", "FIELD", "employment_type", "EQ", "FALSE"), ("r-tenured-v1", "main", "FIELD", "hire_date", "GTE", "FALSE"),
+    ("r-tenured-v1", "main", "TIME", "tenure_days", "GTE", "FALSE"), ("r-group-v1", "main", "GROUP", "click", "MEMBER_OF", "TRUE"),
+    ("r-group-v1", "main", "ATTRIBUTE", "level", "GT", "FALSE"), ("r-future-v1", "main", "FIELD", "department", "EQ", "TRUE"),
+    ("r-ended-v1", "main", "FIELD", "department", "EQ", "TRUE"), ("r-off-v1", "main", "FIELD", "department", "EQ", "TRUE"),
+    ("k-place-v1", "perks", "FIELD", "location", "IN", "TRUE"), ("k-manager-v1", "perks", "FIELD", "is_manager", "EQ", "TRUE"),
+    ("k-level-v1", "perks", "ATTRIBUTE", "level", "GTE", "FALSE"), ("k-level-v1", "perks", "ATTRIBUTE", "status", "NE", "FALSE"),
+    ("k-year-v1", "perks", "TIME", "as_of_date", "LT", "FALSE"), ("k-year-v1", "perks", "FIELD", "hire_date", "LT", "FALSE"))) +
+    ") v(version_id, category_id, type, key, operator, mandatory)")
 def rule_dependencies(spark, d):
-    return impact.dependencies(spark, fx.RULES, DAY)
+    return impact.dependencies(spark, fx.RULES, DAY).drop("selector")
 
 
 WON = "SELECT employee_id, category_id, policy_id, candidate_id FROM judged WHERE won"
@@ -188,14 +206,32 @@ def rejected_reasons(spark, d):
     return resolve.rejected(Data(spark, d).judged()).select("employee_id", "category_id", "candidate_id", "policy_id", "reason_lost", "won_by")
 
 
+SCOPES = "(SELECT employee_id, c.category_id FROM {0}, (VALUES ('main'), ('perks')) c(category_id))"
+
+
 @register("decision_evidence", o.query(
-    "SELECT employee_id, category_id, coalesce(string_agg(candidate_id, ',' ORDER BY candidate_id) FILTER (WHERE won), '') AS winners, "
-    "coalesce(string_agg(candidate_id, ',' ORDER BY candidate_id) FILTER (WHERE NOT won), '') AS rejected FROM judged GROUP BY ALL", *o.BASE))
+    f"SELECT employee_id, category_id, coalesce(w, '') AS winners, coalesce(r, '') AS rejected FROM {SCOPES.format('snap')} LEFT JOIN "
+    "(SELECT employee_id, category_id, string_agg(candidate_id, ',' ORDER BY candidate_id) FILTER (WHERE won) AS w, "
+    "string_agg(candidate_id, ',' ORDER BY candidate_id) FILTER (WHERE NOT won) AS r FROM judged GROUP BY ALL) USING (employee_id, category_id)", *o.BASE))
 def decision_evidence(spark, d):
-    e = resolve.decisions(Data(spark, d).judged(with_trace=True))
+    data = Data(spark, d)
+    e = resolve.decisions(data.judged(with_trace=True), data.scopes())
     return e.select("employee_id", "category_id", *[F.array_join(F.transform(c, lambda x: x["candidate_id"]), ",").alias(c) for c in ("winners", "rejected")])
 
 
+@register("decisions_without_candidates", o.query(
+    f"SELECT employee_id, category_id FROM {SCOPES.format('snap')} ANTI JOIN judged USING (employee_id, category_id)", *o.BASE))
+def decisions_without_candidates(spark, d):
+    data = Data(spark, d)
+    return resolve.decisions(data.judged(), data.scopes()).where("size(winners) + size(rejected) = 0").select("employee_id", "category_id")
+
+
+@register("tenant_assignments", o.query(
+    "SELECT employee_id, category_id, policy_id FROM judged WHERE won AND employee_id IN (SELECT employee_id FROM ev WHERE company_id = 'c1')", *o.BASE))
+def tenant_assignments(spark, d):
+    return Data(spark, d, "c1").assigned()
+
+
 @register("input_fingerprint")
 def input_fingerprint(spark, d):
     data = Data(spark, d)
@@ -285,9 +321,9 @@ def impact_listed(spark, d):
     return impact.listed_impact(events)
 
 
-@register("selector_population", o.query("SELECT employee_id FROM snap WHERE list_contains(group_ids, 'click') AND employment_type IS NULL AND location IN ('FRANCE', 'CHINA')", o.snap()))
+@register("selector_population", o.query("SELECT employee_id FROM snap WHERE list_contains(group_ids, 'click') AND is_manager AND location IN ('NATION_3', 'NATION_11', 'NATION_5', 'NATION_6', 'NATION_8')", o.snap()))
 def selector_population(spark, d):
-    condition = all_of(group("click"), compare("employment_type", "EQ", None), compare("location", "IN", ["FRANCE", "CHINA"]), compare("attribute.level", "GT", 2))
+    condition = all_of(group("click"), compare("is_manager", "EQ", True), compare("location", "IN", ["NATION_3", "NATION_11", "NATION_5", "NATION_6", "NATION_8"]), compare("attribute.level", "GT", 2))
     return impact.population(Data(spark, d).snap(), condition, DAY)
 
 
@@ -365,21 +401,21 @@ CHANGE = ("SELECT employee_id, category_id, count(*) FILTER (WHERE h0 IS NULL) A
 
 
 @register("preview_employee", o.query(
-    CHANGE, *o.BASE, "snap1 AS (SELECT * REPLACE (CASE WHEN employee_id = 7 THEN 'MACHINERY' ELSE department END AS department, "
+    f"SELECT * FROM ({CHANGE}) WHERE employee_id = 7", *o.BASE, "snap1 AS (SELECT * REPLACE (CASE WHEN employee_id = 7 THEN 'MACHINERY' ELSE department END AS department, "
     "CASE WHEN employee_id = 7 THEN '2-HIGH' ELSE employment_type END AS employment_type) FROM snap)", o.cand(o.DAY, "cand1", "snap1"), o.judged("judged1", "cand1")))
 def preview_employee(spark, d):
     data = Data(spark, d)
     proposed = snapshots.with_proposed_facts(data.snap(), 7, {"department": "MACHINERY", "employment_type": "2-HIGH"})
-    return preview.preview_facts(data.snap(), proposed, fx.RULES, data.overrides, fx.CATEGORIES, DAY)
+    return preview.preview_facts(data.snap(), proposed, fx.RULES, data.overrides, fx.CATEGORIES, DAY, 7)
 
 
 @register("preview_override", o.query(
-    CHANGE, *o.BASE, "ov1 AS (SELECT * FROM ov UNION ALL SELECT 999999999, 7, 'main', 'p-machinery', 'ASSIGN', 1000, DATE '1999-01-01', NULL, FALSE)",
+    f"SELECT * FROM ({CHANGE}) WHERE employee_id = 7", *o.BASE, "ov1 AS (SELECT * FROM ov UNION ALL SELECT 999999999, 7, 'main', 'p-machinery', 'ASSIGN', 1000, DATE '1999-01-01', NULL, FALSE, 'x', 'c1')",
     o.cand(o.DAY, "cand1", "snap", "ov1"), o.judged("judged1", "cand1")))
 def preview_override(spark, d):
     data = Data(spark, d)
-    extra = spark.createDataFrame([(999999999, 7, "main", "p-machinery", "ASSIGN", 1000, datetime.date(1999, 1, 1), None, False)], data.overrides.schema)
-    return preview.preview_override(data.snap(), fx.RULES, data.overrides, extra, fx.CATEGORIES, DAY)
+    extra = spark.createDataFrame([(999999999, 7, "main", "p-machinery", "ASSIGN", 1000, datetime.date(1999, 1, 1), None, False, "x", "c1")], data.overrides.schema)
+    return preview.preview_override(data.snap(), fx.RULES, data.overrides, extra, fx.CATEGORIES, DAY, 7)
 
 
 RULES_AFTER = [r for r in o.RULES if r[0] != "r-tenured-v1"] + [("r-tenured-v2", "main", "p-tenured", 60, 1, "coalesce(tenure >= 1000, FALSE)")]
@@ -433,7 +469,7 @@ def policy_name_at_start(spark, d):
 def _decisions(data: Data) -> DataFrame:
     out = None
     for n, day in enumerate((EARLIER, DAY)):
-        e = resolve.decisions(data.judged(day)).withColumns({"as_of": F.lit(day), "decided_at": F.lit(n), "decision_id": F.lit(f"d{n}")})
+        e = resolve.decisions(data.judged(day), data.scopes(day)).withColumns({"as_of": F.lit(day), "decided_at": F.lit(n), "decision_id": F.lit(f"d{n}")})
         out = e if out is None else out.unionByName(e)
     return out
 
@@ -456,9 +492,10 @@ def explanation(spark, d):
 
 
 @register("audit_assignment_changes", o.query(
-    "SELECT employee_id, category_id, b AS winners, a AS previous FROM (SELECT employee_id, category_id, string_agg(policy_id, ',' ORDER BY candidate_id) FILTER (WHERE won) AS a, count(*) AS ca FROM judged0 GROUP BY ALL) "
-    "RIGHT JOIN (SELECT employee_id, category_id, string_agg(policy_id, ',' ORDER BY candidate_id) FILTER (WHERE won) AS b FROM judged GROUP BY ALL) USING (employee_id, category_id) "
-    "WHERE ca IS NULL OR coalesce(a, '') <> coalesce(b, '')", *o.BASE, *o.BEFORE))
+    "SELECT employee_id, category_id, n.w AS winners, p.w AS previous FROM "
+    f"(SELECT * FROM {SCOPES.format('snap')} LEFT JOIN (SELECT employee_id, category_id, string_agg(policy_id, ',' ORDER BY candidate_id) AS w FROM judged WHERE won GROUP BY ALL) USING (employee_id, category_id)) n LEFT JOIN "
+    f"(SELECT *, TRUE AS there FROM {SCOPES.format('snap0')} LEFT JOIN (SELECT employee_id, category_id, string_agg(policy_id, ',' ORDER BY candidate_id) AS w FROM judged0 WHERE won GROUP BY ALL) USING (employee_id, category_id)) p "
+    "USING (employee_id, category_id) WHERE there IS NULL OR n.w IS DISTINCT FROM p.w", *o.BASE, *o.BEFORE))
 def audit_assignment_changes(spark, d):
     ids = _decisions(Data(spark, d)).withColumn("winners", F.transform("winners", lambda w: w["policy_id"]))
     names = explain.winner_changes(ids).where("decided_at = 1")

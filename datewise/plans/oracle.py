@@ -13,13 +13,15 @@ EV = """ev AS (
          CASE WHEN c.c_custkey % 17 = 0 THEN NULL ELSE MIN(d.valid_from) OVER (PARTITION BY c.c_custkey) END AS hire_date,
          d.o_orderkey % 7 <> 0 AS status_present,
          CASE WHEN d.o_orderkey % 7 = 0 OR d.o_orderkey % 11 = 0 THEN NULL ELSE d.o_orderstatus END AS attr_status,
-         CAST(d.o_orderkey % 10 AS INT) AS attr_level, 'E-' || lpad(CAST(c.c_custkey AS VARCHAR), 9, '0') AS external_id
+         CAST(d.o_orderkey % 10 AS INT) AS attr_level, 'E-' || lpad(CAST(c.c_custkey AS VARCHAR), 9, '0') AS external_id,
+         CASE WHEN c.c_custkey % 19 = 0 THEN NULL ELSE 'u' || c.c_custkey || '@example.org' END AS email, 'c' || (c.c_custkey % 3) AS company_id
   FROM customer c JOIN d ON d.o_custkey = c.c_custkey AND d.rn = 1
   JOIN nation n ON n.n_nationkey = (c.c_nationkey + d.o_orderkey) % 25)"""
 
 GM = """gm AS (
   SELECT event_type AS group_id, user_id AS employee_id, DATE '1999-06-01' + CAST(EXTRACT(DAY FROM MIN(ts)) AS INT) AS valid_from,
-         CASE WHEN user_id % 3 = 0 THEN NULL ELSE DATE '1999-06-01' + CAST(EXTRACT(DAY FROM MIN(ts)) AS INT) + 20 END AS valid_to
+         CASE WHEN user_id % 3 = 0 THEN NULL ELSE DATE '1999-06-01' + CAST(EXTRACT(DAY FROM MIN(ts)) AS INT) + 20 END AS valid_to,
+         'c' || (user_id % 3) AS company_id
   FROM events WHERE event_id % 5 = 0 GROUP BY event_type, user_id)"""
 
 OV = """ov AS (
@@ -27,7 +29,8 @@ OV = """ov AS (
          CASE WHEN o_orderkey % 3 = 0 THEN 'p-urgent' ELSE 'p-default' END AS policy_id,
          CASE WHEN o_orderkey % 2 = 0 THEN 'ASSIGN' ELSE 'EXCLUDE' END AS action, CAST(o_orderkey % 101 - 50 AS INT) AS priority,
          CAST(o_orderdate AS DATE) AS valid_from,
-         CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) + 365 END AS valid_to, o_orderkey % 5 = 0 AS revoked
+         CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) + 365 END AS valid_to, o_orderkey % 5 = 0 AS revoked,
+         'exception ' || o_orderkey AS reason, 'c' || (o_custkey % 3) AS company_id
   FROM orders WHERE o_orderkey % 29 = 0)"""
 
 
@@ -51,7 +54,7 @@ RULES = [
     ("r-machinery-v1", "main", "p-machinery", 30, 2, "department = 'MACHINERY' AND NOT coalesce(employment_type = '5-LOW', FALSE)"),
     ("r-tenured-v1", "main", "p-tenured", 20, 1, "coalesce(tenure >= 730, FALSE)"),
     ("r-group-v1", "main", "p-group", 35, 2, "list_contains(group_ids, 'click') AND attr_level > 3"),
-    ("k-place-v1", "perks", "k-place", 5, 1, "location IN ('FRANCE', 'GERMANY', 'CHINA')"),
+    ("k-place-v1", "perks", "k-place", 5, 1, "location IN ('NATION_3', 'NATION_7', 'NATION_11')"),
     ("k-manager-v1", "perks", "k-manager", 5, 1, "is_manager"),
     ("k-level-v1", "perks", "k-level", 5, 2, "attr_level >= 8 OR (status_present AND attr_status IS DISTINCT FROM 'O')"),
     ("k-year-v1", "perks", "k-year", 5, 2, "coalesce(hire_date < DATE '1996-01-01', FALSE)"),

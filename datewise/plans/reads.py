@@ -13,23 +13,23 @@ from ..operators import evaluate, explain, jobs, search, universe, verify
 from ..sources import fixtures as fx
 from ..sources import ingest
 from . import oracle as o
-from .core import DAY, Data, register
+from .core import DAY, DIFF, SCOPES, Data, _decisions, history_close, register
 
 SNAP = (o.snap(),)
 
 
 @register("employees_search_page", o.query(
-    "SELECT employee_id, external_id, location, department, hire_date FROM snap WHERE (external_id ILIKE '%fra%' OR "
-    "(lower(concat_ws(' ', location, department)) LIKE '%fra%')) AND is_manager ORDER BY hire_date ASC NULLS LAST, employee_id LIMIT 20 OFFSET 5", *SNAP))
+    "SELECT employee_id, external_id, location, department, hire_date FROM snap WHERE (external_id ILIKE '%urni%' OR "
+    "(lower(concat_ws(' ', location, department)) LIKE '%urni%')) AND is_manager ORDER BY hire_date ASC NULLS LAST, employee_id LIMIT 20 OFFSET 5", *SNAP))
 def employees_search_page(spark, d):
-    found = search.matching(Data(spark, d).snap(), "fra", manager=True)
+    found = search.matching(Data(spark, d).snap(), "urni", manager=True)
     return explain.page(found, search.order_by("hire_date"), 5, 20).select("employee_id", "external_id", "location", "department", "hire_date")
 
 
 @register("employees_all_tokens", o.query(
-    "SELECT employee_id FROM snap WHERE lower(concat_ws(' ', location, department)) LIKE '%united%' AND lower(concat_ws(' ', location, department)) LIKE '%build%' AND attr_status = 'O'", *SNAP))
+    "SELECT employee_id FROM snap WHERE lower(concat_ws(' ', location, department)) LIKE '%nation_1%' AND lower(concat_ws(' ', location, department)) LIKE '%build%' AND attr_status = 'O'", *SNAP))
 def employees_all_tokens(spark, d):
-    return search.matching(Data(spark, d).snap(), " United  build ", status="O").select("employee_id")
+    return search.matching(Data(spark, d).snap(), " Nation_1  build ", status="O").select("employee_id")
 
 
 @register("employee_facets", o.query(
@@ -53,22 +53,27 @@ def employee_detail(spark, d):
     return Data(spark, d).snap().where("employee_id = 7").select("employee_id", "location", "department", F.array_join("group_ids", ",").alias("groups"))
 
 
-@register("employee_activity", o.query(
-    "SELECT employee_id, 'version' AS kind, version_id AS ref, valid_from AS at FROM ev WHERE employee_id < 50 UNION ALL SELECT employee_id, 'override', id, valid_from FROM ov WHERE employee_id < 50"))
-def employee_activity(spark, d):
+ACTIVITY = ("SELECT employee_id, 'version' AS kind, CAST(version_id AS VARCHAR) AS ref, valid_from AS at FROM ev UNION ALL SELECT employee_id, 'override', CAST(id AS VARCHAR), valid_from FROM ov "
+            "UNION ALL SELECT employee_id, 'assignment', policy_id, CASE WHEN state = 'ADDED' THEN DATE '1999-06-30' ELSE DATE '1998-12-31' END FROM diff "
+            f"UNION ALL SELECT employee_id, 'decision', category_id || ':d0', DATE '1998-12-31' FROM {SCOPES.format('snap0')} UNION ALL SELECT employee_id, 'decision', category_id || ':d1', DATE '1999-06-30' FROM {SCOPES.format('snap')}")
+
+
+def _activity(spark, d, employee_id=None) -> DataFrame:
     data = Data(spark, d)
-    v = data.versions.select("employee_id", F.lit("version").alias("kind"), F.col("version_id").alias("ref"), F.col("valid_from").alias("at"))
-    w = data.overrides.select("employee_id", F.lit("override").alias("kind"), F.col("id").alias("ref"), F.col("valid_from").alias("at"))
-    return v.unionByName(w).where("employee_id < 50")
+    parts = [(data.versions, "version", "version_id", "valid_from"), (data.overrides, "override", "id", "valid_from"),
+             (history_close(spark, d), "assignment", "policy_id", "valid_from"),
+             (search.last_per_employee(_decisions(data).withColumn("ref", F.concat_ws(":", "category_id", "decision_id")), 100), "decision", "ref", "as_of")]
+    return search.activity([(t if employee_id is None else t.where(F.col("employee_id") == employee_id), *rest) for t, *rest in parts])
+
+
+@register("employee_activity", o.query(f"SELECT * FROM ({ACTIVITY}) WHERE employee_id = 7", *o.BASE, *o.BEFORE, DIFF))
+def employee_activity(spark, d):
+    return _activity(spark, d, 7)
 
 
-@register("employee_activity_all", o.query(
-    "SELECT employee_id, 'version' AS kind, version_id AS ref, valid_from AS at FROM ev UNION ALL SELECT employee_id, 'override', id, valid_from FROM ov"))
+@register("employee_activity_all", o.query(ACTIVITY, *o.BASE, *o.BEFORE, DIFF))
 def employee_activity_all(spark, d):
-    data = Data(spark, d)
-    v = data.versions.select("employee_id", F.lit("version").alias("kind"), F.col("version_id").alias("ref"), F.col("valid_from").alias("at"))
-    w = data.overrides.select("employee_id", F.lit("override").alias("kind"), F.col("id").alias("ref"), F.col("valid_from").alias("at"))
-    return v.unionByName(w)
+    return _activity(spark, d)
 
 
 @register("group_counts", o.query(f"SELECT group_id, count(*) FILTER (WHERE {o.on(o.DAY)}) AS member_count, CASE WHEN group_id = 'click' THEN 1 ELSE 0 END AS rule_count FROM gm GROUP BY group_id"))
@@ -85,8 +90,8 @@ def group_counts(spark, d):
     f"SELECT group_id, employee_id, count(*) OVER () AS total FROM gm WHERE group_id = 'click' AND {o.on(o.DAY)} ORDER BY employee_id LIMIT 10"))
 def group_members_page(spark, d):
     rows = fx.group_memberships(spark, d).where((F.col("group_id") == "click") & active_on(DAY)).select("group_id", "employee_id")
-    total = rows.agg(F.count("*").alias("total")).first()["total"]
-    return explain.page(rows, [F.asc("employee_id")], 0, 10).withColumn("total", F.lit(total).cast("long"))
+    total = rows.groupBy("group_id").agg(F.count("*").alias("total"))
+    return explain.page(rows, [F.asc("employee_id")], 0, 10).join(F.broadcast(total), "group_id")  # one row
 
 
 @register("category_counts", o.query(
@@ -104,13 +109,13 @@ def policy_counts(spark, d):
     return fx.policies(spark).select("policy_id").join(n, "policy_id", "left").na.fill({"assignees": 0})
 
 
-@register("rules_search")
+@register("rules_search", "SELECT 'r-any' AS rule_id, 'p-default' AS policy_id, 1 AS priority UNION ALL SELECT 'r-machinery', 'p-machinery', 30 UNION ALL SELECT 'r-future', 'p-future', 90 UNION ALL SELECT 'r-ended', 'p-ended', 95")
 def rules_search(spark, d):
     from ..operators.impact import dependencies
 
     uses = dependencies(spark, fx.RULES, DAY).where("key = 'department'").select("version_id").distinct()
     found = fx.rule_table(spark).where("category_id = 'main' AND enabled").join(uses, "version_id", "left_semi")
-    return found.where(text.contains_ignoring_case(F.col("rule_id"), "R-")).orderBy("rule_id")
+    return found.where(text.contains_ignoring_case(F.col("rule_id"), "R-")).orderBy("rule_id").select("rule_id", "policy_id", "priority")
 
 
 @register("rule_versions", "SELECT 'r-tenured' AS rule_id, 'r-tenured-v1' AS version_id, 20 AS priority, TRUE AS enabled")
@@ -239,7 +244,7 @@ def import_reject_reasons(spark, d):
 
 
 @register("import_normalised", o.query(
-    f"SELECT id AS source_row_id, c_custkey AS payroll, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS job_title, 'src-' || sha256('source:' || id)[1:40] AS external_id, "
+    f"SELECT id AS source_row_id, c_custkey AS payroll, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS job_title, 'nyc-' || sha256('source:' || id)[1:40] AS external_id, "
     f"'Record ' || upper(sha256('source:' || id)[1:12]) AS display_name FROM raw WHERE {REASON} IS NULL", RAW))
 def import_normalised(spark, d):
     return ingest.normalise(_raw(spark, d)).where("reject_reason IS NULL").select(
@@ -317,6 +322,39 @@ def inv_cardinality(spark, d):
     return verify.cardinality_violations(Data(spark, d).assigned(), ["main"])
 
 
+# The same checks over assignments in which violations are planted.
+PLANTED = ("planted AS (SELECT employee_id, category_id, policy_id FROM judged WHERE won UNION ALL SELECT employee_id, category_id, 'p-extra' FROM judged WHERE won AND employee_id % 11 = 0 "
+           "UNION ALL SELECT employee_id, category_id, policy_id FROM judged WHERE won AND employee_id % 13 = 0)")
+
+
+def _planted(spark, d) -> DataFrame:
+    a = Data(spark, d).assigned()
+    return a.unionByName(a.where("employee_id % 11 = 0").withColumn("policy_id", F.lit("p-extra"))).unionByName(a.where("employee_id % 13 = 0"))
+
+
+@register("inv_cardinality_planted", o.query("SELECT employee_id, category_id, count(*) AS n FROM planted WHERE category_id = 'main' GROUP BY ALL HAVING count(*) > 1", *o.BASE, PLANTED))
+def inv_cardinality_planted(spark, d):
+    return verify.cardinality_violations(_planted(spark, d), ["main"])
+
+
+@register("inv_duplicates_planted", o.query("SELECT employee_id, category_id, policy_id, count(*) AS n FROM planted GROUP BY ALL HAVING count(*) > 1", *o.BASE, PLANTED))
+def inv_duplicates_planted(spark, d):
+    return verify.duplicates(_planted(spark, d))
+
+
+@register("inv_bad_intervals_planted", o.query("SELECT employee_id, id FROM (SELECT *, CASE WHEN id % 7 = 0 THEN valid_from ELSE valid_to END AS ends FROM ov) WHERE ends IS NOT NULL AND ends <= valid_from"))
+def inv_bad_intervals_planted(spark, d):
+    rows = fx.manual_overrides(spark, d).withColumn("valid_to", F.when(F.col("id") % 7 == 0, F.col("valid_from")).otherwise(F.col("valid_to")))
+    return verify.bad_intervals(rows, allow_empty=False).select("employee_id", "id")
+
+
+@register("inv_orphans_planted", o.query("SELECT DISTINCT CASE WHEN employee_id % 9 = 0 THEN -employee_id - 1 ELSE employee_id END AS employee_id FROM ov WHERE employee_id % 9 = 0"))
+def inv_orphans_planted(spark, d):
+    data = Data(spark, d)
+    rows = data.overrides.select(F.when(F.col("employee_id") % 9 == 0, -F.col("employee_id") - 1).otherwise(F.col("employee_id")).alias("employee_id")).distinct()
+    return verify.orphans(rows, data.versions.select("employee_id"), ["employee_id"])
+
+
 @register("inv_duplicates", o.query("SELECT employee_id, category_id, policy_id, count(*) AS n FROM judged WHERE won GROUP BY ALL HAVING count(*) > 1", *o.BASE))
 def inv_duplicates(spark, d):
     return verify.duplicates(Data(spark, d).assigned())

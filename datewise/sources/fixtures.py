@@ -42,14 +42,16 @@ def employee_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("c_custkey") % 17 != 0, F.min("valid_from").over(whole)).alias("hire_date"),
             F.concat(F.lit("{"), status, F.lit('"level":'), (key % 10).cast("string"), F.lit("}")).alias("attributes_json"),
             F.concat(F.lit("E-"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("external_id"),
-            F.lit(None).cast("string").alias("email")))
+            F.when(F.col("c_custkey") % 19 != 0, F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("@example.org"))).alias("email"),
+            F.concat(F.lit("c"), (F.col("c_custkey") % 3).cast("string")).alias("company_id")))
 
 
 def group_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.date_add(F.lit("1999-06-01").cast("date"), F.dayofmonth(F.min("ts")))
     return (read(spark, sf_dir, "events").where("event_id % 5 = 0").groupBy("event_type", "user_id").agg(start.alias("valid_from"))
             .select(F.col("event_type").alias("group_id"), F.col("user_id").alias("employee_id"), "valid_from",
-                    F.when(F.col("user_id") % 3 != 0, F.date_add("valid_from", 20)).alias("valid_to")))
+                    F.when(F.col("user_id") % 3 != 0, F.date_add("valid_from", 20)).alias("valid_to"),
+                    F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("company_id")))
 
 
 def manual_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +61,9 @@ def manual_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 3 == 0, "p-urgent").otherwise("p-default").alias("policy_id"),
         F.when(key % 2 == 0, "ASSIGN").otherwise("EXCLUDE").alias("action"),
         (key % 101 - 50).cast("int").alias("priority"), start.alias("valid_from"),
-        F.when(key % 4 != 0, F.date_add(start, 365)).alias("valid_to"), (key % 5 == 0).alias("revoked"))
+        F.when(key % 4 != 0, F.date_add(start, 365)).alias("valid_to"), (key % 5 == 0).alias("revoked"),
+        F.concat(F.lit("exception "), key.cast("string")).alias("reason"),
+        F.concat(F.lit("c"), (F.col("o_custkey") % 3).cast("string")).alias("company_id"))
 
 
 def _rule(rule: str, policy: str, priority: int, condition: dict, valid_from="1990-01-01", valid_to=None, enabled=True,
@@ -79,7 +83,7 @@ RULES = [
     _rule("r-future", "p-future", 90, compare("department", "EQ", "BUILDING"), valid_from="1999-09-01"),
     _rule("r-ended", "p-ended", 95, compare("department", "EQ", "BUILDING"), valid_to="1999-06-30"),
     _rule("r-off", "p-off", 99, compare("department", "EQ", "BUILDING"), enabled=False),
-    _rule("k-place", "k-place", 5, compare("location", "IN", ["FRANCE", "GERMANY", "CHINA"]), category="perks"),
+    _rule("k-place", "k-place", 5, compare("location", "IN", ["NATION_3", "NATION_7", "NATION_11"]), category="perks"),
     _rule("k-manager", "k-manager", 5, compare("is_manager", "EQ", True), category="perks"),
     _rule("k-level", "k-level", 5, any_of(compare("attribute.level", "GTE", 8), compare("attribute.status", "NE", "O")), category="perks"),
     _rule("k-year", "k-year", 5, all_of(compare("as_of_date", "LT", "2000-01-01"), compare("hire_date", "LT", "1996-01-01")), category="perks"),

@@ -72,14 +72,14 @@ def normalise(raw: DataFrame) -> DataFrame:
             value = F.when(value.rlike(r"^\d{4}$"), value)
         out[name] = value
         reason = F.when(value.isNull(), fault).otherwise(reason)
-    identity = F.sha2(F.concat(F.lit("source:"), out["source_row_id"]), 256)
+    identity = F.sha2(F.concat(F.lit("source:"), out["source_row_id"]), 256)  # the presentation strips the ids' prefix again
     first, last, middle = usable_name(F.col("first_name"), 200), usable_name(F.col("last_name"), 200), usable_name(F.col("mid_init"), 50)
     numbers = {target: F.try_to_number(F.col(source), F.lit("999999999999.9999")).cast("double") for source, target in NUMBERS if source in raw.columns}
     display = F.when(first.isNotNull() & last.isNotNull(), F.concat_ws(" ", first, middle, last)).otherwise(
         F.concat(F.lit("Record "), F.upper(F.substring(identity, 1, 12))))
     rows = raw.select(*[c.alias(n) for n, c in out.items()], *[c.alias(n) for n, c in numbers.items()],
                       first.alias("first_name"), last.alias("last_name"), middle.alias("middle_initial"),
-                      F.concat(F.lit("src-"), F.substring(identity, 1, 40)).alias("external_id"), display.alias("display_name"),
+                      F.concat(F.lit("nyc-"), F.substring(identity, 1, 40)).alias("external_id"), display.alias("display_name"),
                       reason.alias("reject_reason"))
     content = [c for c in rows.columns if c not in ("reject_reason", "display_name", "external_id")]
     return rows.withColumn("checksum", F.sha2(F.to_json(F.struct(*sorted(content))), 256))

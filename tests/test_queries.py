@@ -8,7 +8,7 @@ import pytest
 from datewise.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NO_TWIN = {"rule_dependencies", "input_fingerprint", "rules_search", "import_checksum", "role_families", "universe_fingerprint"}
+NO_TWIN = {"input_fingerprint", "import_checksum", "role_families", "universe_fingerprint"}
 
 
 @pytest.fixture(scope="module")
