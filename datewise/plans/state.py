@@ -7,10 +7,13 @@ import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import batch as batch_mod
+from ..operators import dispatch
 from ..operators import mutations as m
 from ..sources import fixtures as fx
+from ..sources.generations import State, work_dir
 from . import oracle as o
-from .core import DAY, Data, _policy_versions, register
+from .core import DAY, DIFF, EARLIER, OV_DATES, SCOPES, Data, _policy_versions, register
 
 COMPANIES = ("c0", "c1", "c2")
 
@@ -231,3 +234,78 @@ def event_outbox(spark, d):
     events = m.patch_employees(s.versions, s.memberships, s.groups, _patches(s), DAY).events
     twice = m.append_events(m.append_events(queue, events), events.unionByName(queue))
     return twice.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+# Events of every scope, several of each.
+EVENTS = (
+    (1, "EMPLOYEE", '{"employeeId":7,"categoryIds":["perks"]}'), (2, "EMPLOYEE", '{"employeeId":8}'),
+    (3, "EMPLOYEE", '{"employeeId":9,"changedFields":["location","attributes.level"]}'), (4, "EMPLOYEE", '{"employeeId":9,"changedFields":["email"]}'),
+    (5, "GROUP", '{"employeeId":10,"groupId":"click"}'), (6, "GROUP", '{"employeeId":10,"groupId":"nowhere"}'),
+    (7, "RULE", '{"ruleVersionId":"r-machinery-v1","previousRuleVersionId":"k-manager-v1"}'), (8, "RULE", '{"ruleVersionId":"r-none-v1"}'),
+    (9, "POLICY", '{"policyId":"p-urgent"}'), (10, "POLICY", '{"policyId":"p-none"}'), (11, "OVERRIDE", '{"employeeId":12,"categoryId":"main"}'),
+    (12, "TEMPORAL", '{"employeeId":13,"categoryId":"perks"}'),
+    (13, "FANOUT", '{"scopes":[{"employeeId":1,"categoryId":"main"},{"employeeId":2,"categoryId":"main"}]}'),
+    (14, "FANOUT", '{"scopes":[{"employeeId":1,"categoryId":"main"},{"employeeId":1,"categoryId":"main"}]}'), (15, "FULL", "{}"), (16, "OTHER", "{}"))
+
+
+def _analyzed(spark, d):
+    data = Data(spark, d)
+    events = spark.createDataFrame(list(EVENTS), "event_id int, scope string, payload string")
+    return dispatch.analyze(events, data.snap(), data.assigned(), fx.RULES, list(fx.CATEGORIES), DAY)
+
+
+@register("impact_dispatch", o.query(
+    "SELECT 1 AS event_id, 7 AS employee_id, 'perks' AS category_id UNION ALL SELECT 2, 8, 'main' UNION ALL SELECT 2, 8, 'perks' UNION ALL SELECT 3, 9, 'main' UNION ALL SELECT 3, 9, 'perks' UNION ALL "
+    "SELECT 5, 10, 'main' UNION ALL SELECT 7, employee_id, 'main' FROM snap WHERE department = 'MACHINERY' UNION ALL SELECT 7, employee_id, 'perks' FROM snap WHERE is_manager UNION ALL "
+    "(SELECT 9, employee_id, 'main' FROM snap WHERE employment_type = '1-URGENT' UNION SELECT 9, employee_id, category_id FROM judged WHERE won AND policy_id = 'p-urgent') UNION ALL "
+    "SELECT 11, 12, 'main' UNION ALL SELECT 12, 13, 'perks' UNION ALL SELECT 13, 1, 'main' UNION ALL SELECT 13, 2, 'main' UNION ALL SELECT 15, employee_id, c FROM snap, (VALUES ('main'), ('perks')) v(c)", *o.BASE))
+def impact_dispatch(spark, d):
+    return _analyzed(spark, d)[0]
+
+
+@register("impact_errors", "SELECT * FROM (VALUES (8, 'MISSING_RULE_VERSION'), (10, 'MISSING_POLICY'), (14, 'DUPLICATE_SCOPES'), (16, 'UNSUPPORTED_SCOPE')) v(event_id, error)")
+def impact_errors(spark, d):
+    return _analyzed(spark, d)[1]
+
+
+def reconciled(spark, d) -> State:
+    """Two days for everyone, the second with a replay, then a third batch of some scopes on the same day."""
+    state, data = State(spark, work_dir(spark, "reconciled")), Data(spark, d)
+    for batch, day, few in (("first", EARLIER, False), ("second", DAY, False), ("second", DAY, False), ("third", DAY, True)):
+        scopes = data.scopes(day)
+        batch_mod.reconcile_batch(state, scopes.where("employee_id % 10 = 0") if few else scopes, data.snap(day), fx.RULES, data.overrides,
+                                  fx.CATEGORIES, day, batch)
+    return state
+
+
+@register("reconciled_assignments", o.query(
+    "SELECT employee_id, category_id, policy_id, CASE WHEN category_id = 'main' THEN category_id ELSE policy_id END AS slot_key, "
+    "CASE WHEN state = 'ADDED' THEN DATE '1999-06-30' ELSE DATE '1998-12-31' END AS effective_from FROM diff WHERE state <> 'REMOVED'", *o.BASE, *o.BEFORE, DIFF))
+def reconciled_assignments(spark, d):
+    return reconciled(spark, d).read("assignments", batch_mod.ASSIGNMENTS).drop("decision_id")
+
+
+@register("reconciled_history", o.query(
+    "SELECT employee_id, category_id, policy_id, DATE '1998-12-31' AS valid_from, CASE WHEN state = 'REMOVED' THEN DATE '1999-06-30' END AS valid_to FROM diff WHERE state <> 'ADDED' "
+    "UNION ALL SELECT employee_id, category_id, policy_id, DATE '1999-06-30', NULL FROM diff WHERE state = 'ADDED'", *o.BASE, *o.BEFORE, DIFF))
+def reconciled_history(spark, d):
+    return reconciled(spark, d).read("history", batch_mod.HISTORY)
+
+
+@register("reconciled_decisions", o.query(
+    f"SELECT employee_id, category_id, DATE '1998-12-31' AS as_of, w AS winners FROM {SCOPES.format('snap0')} LEFT JOIN (SELECT employee_id, category_id, string_agg(policy_id, ',' ORDER BY candidate_id) AS w FROM judged0 WHERE won GROUP BY ALL) USING (employee_id, category_id) UNION ALL "
+    f"SELECT employee_id, category_id, DATE '1999-06-30', w FROM {SCOPES.format('snap')} LEFT JOIN (SELECT employee_id, category_id, string_agg(policy_id, ',' ORDER BY candidate_id) AS w FROM judged WHERE won GROUP BY ALL) USING (employee_id, category_id)", *o.BASE, *o.BEFORE))
+def reconciled_decisions(spark, d):
+    """One decision a scope and day: neither the replay nor the third batch, whose inputs are the same, adds any."""
+    e = reconciled(spark, d).read("decisions", batch_mod.DECISIONS)
+    return e.select("employee_id", "category_id", "as_of", F.nullif(F.array_join("winners", ","), F.lit("")).alias("winners"))
+
+
+@register("reconciled_timers", o.query(
+    f"SELECT employee_id, category_id, source, source_id, date FROM (SELECT employee_id, category_id, 'OVERRIDE' AS source, source_id, date FROM ({OV_DATES}) UNION ALL "
+    f"SELECT employee_id, 'main', 'RULE', 'r-tenured-v1', hire_date + 730 FROM snap WHERE hire_date + 730 > {o.DAY} UNION ALL SELECT employee_id, 'main', 'RULE', 'r-future-v1', DATE '1999-09-01' FROM snap "
+    f"UNION ALL SELECT employee_id, 'perks', 'RULE', 'k-year-v1', DATE '2000-01-01' FROM snap) JOIN {SCOPES.format('snap')} USING (employee_id, category_id)", o.snap()))
+def reconciled_timers(spark, d):
+    """Timers after the later date, of scopes that it knows."""
+    t, data = reconciled(spark, d).read("transitions", batch_mod.TRANSITIONS), Data(spark, d)
+    return t.where(F.col("date") > F.lit(DAY)).join(data.scopes(), ["employee_id", "category_id"], "left_semi").drop("processed")
