@@ -266,50 +266,59 @@ class WindowNetwork:
 
     @staticmethod
     def _softmax(scores: np.ndarray) -> np.ndarray:
-        scores -= scores.max(1, keepdims=True)
+        """Over the first axis, which leaves whole rows to be combined."""
+        scores -= scores.max(0)
         np.exp(scores, out=scores)
-        scores /= scores.sum(1, keepdims=True)
+        scores /= scores.sum(0)
         return scores
 
+    @staticmethod
+    def _log_softmax_at(scores: np.ndarray, which: np.ndarray) -> np.ndarray:
+        top = scores.max(0)
+        own = scores[which, np.arange(scores.shape[1])] - top
+        scores -= top
+        np.exp(scores, out=scores)
+        return own - np.log(scores.sum(0))
+
     def _by_class(self, group: np.ndarray):
-        order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(SIDE + 1))
+        order = np.argsort(group.astype(np.uint8), kind="stable")
+        edges = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=SIDE))])
         return order, edges
 
     def log_prob(self, target: np.ndarray, near: np.ndarray) -> np.ndarray:
         """Log-probability of each target given its neighbours."""
-        h, out = self.hidden(near), np.zeros(len(target))
         group, word = target // SIDE, target % SIDE
-        p = self._softmax(h @ self.to_class)
-        out += np.log(p[np.arange(len(p)), group] + 1e-12)
         order, edges = self._by_class(group)
-        for c in np.unique(group):
-            own = order[edges[c]:edges[c + 1]]
-            q = self._softmax(h[own] @ self.to_word[c])
-            out[own] += np.log(q[np.arange(len(q)), word[own]] + 1e-12)
-        return out
+        h, word = self.hidden(near)[order], word[order]
+        out = self._log_softmax_at(self.to_class.T @ h.T, group[order]).astype(np.float64)
+        for c in np.flatnonzero(np.diff(edges)).tolist():
+            own = slice(edges[c], edges[c + 1])
+            out[own] += self._log_softmax_at(self.to_word[c].T @ h[own].T, word[own])
+        back = np.empty(len(target))
+        back[order] = out
+        return back
 
     def step(self, target: np.ndarray, near: np.ndarray, rate: float) -> None:
         """One gradient step of the mean negative log-probability; rows of rare ids take larger steps."""
         n = len(target)
-        h = self.hidden(near)
-        group, word = target // SIDE, target % SIDE
-        p = self._softmax(h @ self.to_class)
-        p[np.arange(n), group] -= 1
-        back = p @ self.to_class.T
-        grad_class = h.T @ p / n
-        order, edges = self._by_class(group)
-        for c in np.unique(group):
-            own = order[edges[c]:edges[c + 1]]
+        order, edges = self._by_class(target // SIDE)
+        target, near = target[order], near[order]
+        h, group, word = self.hidden(near), target // SIDE, target % SIDE
+        p = self._softmax(self.to_class.T @ h.T)
+        p[group, np.arange(n)] -= 1
+        back = p.T @ self.to_class.T
+        grad_class = (p @ h).T / n
+        for c in np.flatnonzero(np.diff(edges)).tolist():
+            own = slice(edges[c], edges[c + 1])
             hc = h[own]
-            q = self._softmax(hc @ self.to_word[c])
-            q[np.arange(len(q)), word[own]] -= 1
-            back[own] += q @ self.to_word[c].T
-            self.to_word[c] -= rate * 8 * (hc.T @ q) / max(len(own), 32)
+            q = self._softmax(self.to_word[c].T @ hc.T)
+            q[word[own], np.arange(len(hc))] -= 1
+            back[own] += q.T @ self.to_word[c].T
+            self.to_word[c] -= rate * 8 * (q @ hc).T / max(len(hc), 32)
         self.to_class -= rate * 8 * grad_class
         back = back[:, :WIDTH] * (1 - h[:, :WIDTH] ** 2)
         for k in range(near.shape[1]):
-            order = np.argsort(near[:, k], kind="stable")
+            order = np.argsort(near[:, k].astype(np.uint16), kind="stable")
             ids = near[order, k]
             starts = np.flatnonzero(np.diff(ids, prepend=-1))
             times = np.diff(starts, append=n)
@@ -399,7 +408,8 @@ def _train_ids(coded: DataFrame, rounds: int) -> WindowNetwork:
         shares = [(turn * passes + k) % rounds for k in range(passes)]
         own = texts.where(F.pmod("at", F.lit(rounds)).isin(shares))
         # Dealt by hash and sorted, so that the network follows from the texts alone and not from the table's partitions.
-        own = own.repartition(shards, "at").sortWithinPartitions("at", "ids").select("ids")
+        # Should a cluster deal out more partitions than were asked for, they are put together: each task sends a network.
+        own = own.repartition(shards, "at").coalesce(shards).sortWithinPartitions("at", "ids").select("ids")
         sent = context.broadcast(network.flat())
 
         def learn(batches):
