@@ -42,3 +42,15 @@ def with_proposed_facts(snap: DataFrame, employee_id, facts: dict, attributes_js
     if attributes_json is not None:
         out = out.withColumn("attributes", F.when(mine, F.parse_json(F.lit(attributes_json))).otherwise(F.col("attributes")))
     return out
+
+
+def rules_on(rule_versions: DataFrame, policy_versions: DataFrame, as_of) -> DataFrame:
+    """Published rules that have not ended, future ones included, with `policy_enabled` as of the date.
+
+    The policy's version of the date is joined from the left: without one the
+    policy is not enabled.
+    """
+    day = _day(as_of)
+    own = policy_versions.where(active_on(day)).select("company_id", "policy_id", F.col("enabled").alias("policy_enabled"))
+    rules = rule_versions.where((F.col("status") == "PUBLISHED") & not_ended(day))
+    return rules.join(own, ["company_id", "policy_id"], "left").withColumn("policy_enabled", F.coalesce("policy_enabled", F.lit(False)))
