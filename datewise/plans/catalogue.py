@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import core, reads, routes, state  # noqa: F401  the others register with core
+from . import core, domains, reads, routes, state  # noqa: F401  the others register with core
 
 
 def queries() -> dict:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import routes
 from ..sources import fixtures as fx
+from ..sources import requests
 from . import oracle as o
 from .core import DAY, register
 from .state import Source
@@ -144,3 +145,54 @@ def categories_of_company(spark, d):
     return Source(spark, d).policies.select("company_id", "category_id").distinct()
 
 
+
+
+REQUEST = "CASE WHEN k % 11 = 0 THEN 'not an object' WHEN k % 7 = 0 THEN 'key: pattern' WHEN k % 5 = 0 THEN 'name: required' WHEN k % 13 = 0 THEN 'name: null' WHEN k % 3 = 0 THEN 'description: long' END"
+
+
+@register("request_errors", f"SELECT {REQUEST} AS error, count(*) AS n FROM (SELECT c_custkey AS k FROM customer) GROUP BY ALL")
+def request_errors(spark, d):
+    k = F.col("c_custkey")
+    doc = F.when(k % 11 == 0, F.lit("[1]")).otherwise(F.concat(
+        F.lit('{"key":"'), F.when(k % 7 == 0, "-x").otherwise("x.1"), F.lit('"'),
+        F.when(k % 5 == 0, "").otherwise(F.when(k % 13 == 0, ',"name":null').otherwise(',"name":"Name"')),
+        F.when(k % 3 == 0, F.concat(F.lit(',"description":"'), F.repeat(F.lit("d"), 2001), F.lit('"'))).otherwise(',"description":null'), F.lit(',"other":1}')))
+    docs = fx.read(spark, d, "customer").select("c_custkey", doc.alias("document"))
+    return requests.check(docs, "group").groupBy("error").agg(F.count("*").alias("n"))
+
+
+OVERRIDES = (
+    ('{"employeeId":"00000000-0000-4000-8000-000000000001","policyId":"00000000-0000-4000-8000-000000000002","action":"ASSIGN","reason":"r","validFrom":"2024-01-01","validTo":"2024-02-01"}', None),
+    ('{"employeeId":"00000000-0000-4000-8000-000000000001","policyId":"x","action":"ASSIGN","reason":"r"}', "policyId: uuid"),
+    ('{"employeeId":"00000000-0000-4000-8000-000000000001","policyId":"00000000-0000-4000-8000-000000000002","action":"MAYBE","reason":"r"}', "action: value"),
+    ('{"employeeId":"00000000-0000-4000-8000-000000000001","policyId":"00000000-0000-4000-8000-000000000002","action":"EXCLUDE","priority":1000001,"reason":"r"}', "priority: range"),
+    ('{"employeeId":"00000000-0000-4000-8000-000000000001","policyId":"00000000-0000-4000-8000-000000000002","action":"EXCLUDE","priority":1.5,"reason":"r"}', "priority: type"),
+    ('{"employeeId":"00000000-0000-4000-8000-000000000001","policyId":"00000000-0000-4000-8000-000000000002","action":"EXCLUDE","reason":"r","validFrom":"2024-02-31"}', "validFrom: date"),
+    ('{"employeeId":"00000000-0000-4000-8000-000000000001","policyId":"00000000-0000-4000-8000-000000000002","action":"EXCLUDE","reason":"r","validFrom":"2024-02-01","validTo":"2024-02-01"}', "validTo must be later than validFrom"))
+
+
+@register("request_overrides", "SELECT * FROM (VALUES " + ", ".join(f"({n}, {'NULL' if e is None else chr(39) + e + chr(39)})" for n, (_, e) in enumerate(OVERRIDES)) + ") v(n, error)")
+def request_overrides(spark, d):
+    docs = spark.createDataFrame([(n, t) for n, (t, _) in enumerate(OVERRIDES)], "n int, document string")
+    return requests.check(docs, "override").select("n", "error")
+
+
+RULES = (
+    ('{"policyId":"00000000-0000-4000-8000-000000000002","key":"r","validFrom":"2024-01-01","condition":{"type":"group","groupId":"g","operator":"MEMBER_OF"}}', None),
+    ('{"policyId":"00000000-0000-4000-8000-000000000002","key":"r","validFrom":"2024-01-01","condition":{"type":"xor"}}', "condition: unknown condition type"),
+    ('{"policyId":"00000000-0000-4000-8000-000000000002","key":"r","validFrom":"2024-01-01","condition":{"type":"comparison","fact":{"kind":"as_of_date"},"operator":"EQ","value":"2024-02-31"}}', "condition: as_of_date values are ISO dates"))
+
+
+@register("request_rules", "SELECT * FROM (VALUES " + ", ".join(f"({n}, {'NULL' if e is None else chr(39) + e + chr(39)})" for n, (_, e) in enumerate(RULES)) + ") v(n, error)")
+def request_rules(spark, d):
+    docs = spark.createDataFrame([(n, t) for n, (t, _) in enumerate(RULES)], "n int, document string")
+    return requests.check(docs, "rule").select("n", "error")
+
+
+@register("inline_relations", "SELECT o_custkey AS employee_id, c AS category_id FROM orders, (VALUES ('main'), ('perks')) v(c) WHERE o_orderkey % 2 = 0 UNION ALL SELECT n, 'series' FROM range(1, 1202) t(n)")
+def inline_relations(spark, d):
+    """Record sets of two scopes in JSON, and a generated series."""
+    texts = fx.read(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.to_json(F.transform(
+        F.array(F.lit("main"), F.lit("perks")), lambda c: F.struct(F.col("o_custkey").alias("employee_id"), c.alias("category_id")))).alias("scopes"))
+    sets = requests.record_set(texts, "scopes", "employee_id:bigint,category_id:string")
+    return sets.unionByName(requests.series(spark, 1, 1201, "employee_id").withColumn("category_id", F.lit("series")))
