@@ -28,14 +28,16 @@ def reconcile_batch(state: State, scopes: DataFrame, snap: DataFrame, rules: lis
                     cardinality: dict[str, str], as_of: datetime.date, batch_id: str) -> dict[str, int]:
     """Bring the scopes up to date as of a day and publish one generation; the counts of what changed.
 
-    A batch id that was published before changes nothing and counts nothing, so
-    a replay is harmless. Scopes may not repeat. A scope whose inputs have the
+    A batch id that was published before, and a batch without scopes, change and
+    count nothing, so a replay is harmless. Scopes may not repeat. A scope whose inputs have the
     fingerprint of an earlier decision of the same day keeps that decision;
     rows that stay keep their decision and start. There is a single writer.
     """
     if state.published(batch_id) is not None:
         return {}
     scopes = scopes.select(*SCOPE)
+    if scopes.isEmpty():
+        return {}
     if scopes.groupBy(*SCOPE).count().where("count > 1").limit(1).count():
         raise BatchError("a reconciliation batch contains duplicate scopes")
     day, now = F.lit(as_of).cast("date"), state.newest() + 1
