@@ -37,6 +37,8 @@ SKETCH_BLOCK = 1 << 13
 PIVOT_ROUNDS = 2
 #: Bytes of ids that may be broadcast to pick texts.
 BROADCAST_BYTES = 64 << 20
+#: Nodes that a task joins to a forest before it sends them on.
+FOREST_NODES = 400_000
 #: Distinct words whose hashes a task remembers.
 CACHE_WORDS = 150_000
 
@@ -158,17 +160,42 @@ def _prefixes(docs: DataFrame, words: int, similarity: int, sketch: np.ndarray)
     return docs.mapInArrow(run, "class binary, n long, group binary, prefix array<long>, last binary")
 
 
-def connected_components(work: Scratch, nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
-    """(node, label) with the smallest node of each component, by alternating large-star and small-star steps.
+def _forest(batches):
+    """Links of a task as a forest: each node with the smallest node that the task's links reach from it."""
+    root: dict[bytes, bytes] = {}
 
-    `nodes` has a column node, `links` columns a and b. Every round is written
-    out; the number of links never grows.
+    def find(x):
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    def flush():
+        rows = [(x, find(x)) for x in root]
+        rows = [(x, y) for x, y in rows if x != y]
+        root.clear()
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.binary()), pa.array([y for _, y in rows], pa.binary())], ["a", "b"])
+
+    for batch in slices(batches):
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = sorted((find(x), find(y)))
+            root.setdefault(x, x)
+            root[y] = x
+        if len(root) > FOREST_NODES:
+            yield flush()
+    yield flush()
+
+
+def connected_components(work: Scratch, links: DataFrame, name: str) -> DataFrame:
+    """(node, label) with the smallest node of its component, for every node but the smallest itself.
+
+    `links` has binary columns a and b. A task first joins its own links to a
+    forest; then large-star and small-star steps alternate until every tree is a
+    star. Every round is written out; the number of links never grows.
     """
-    edges = work.put(links.select("a", "b").where("a <> b").distinct(), f"{name}-edges-0")
-    if edges.isEmpty():
-        return nodes.select("node", F.col("node").alias("label"))
-    before, step = None, 0
-    while True:
+    edges = work.put(links.select("a", "b").where("a <> b").mapInArrow(_forest, "a binary, b binary").distinct(), f"{name}-edges-0")
+    step = 0
+    while not _stars(edges):
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -178,15 +205,17 @@ def connected_components(work: Scratch, nodes: DataFrame, links: DataFrame, name
         small = low.join(floor, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"),
                                             F.col("m").alias("b"))
         step += 1
-        edges = work.put(small.where("a <> b").distinct(), f"{name}-edges-{step}")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        edges = work.put(small.where("a <> b").mapInArrow(_forest, "a binary, b binary").distinct(), f"{name}-edges-{step}")
         work.drop(f"{name}-edges-{step - 1}")
-        if now == before:
-            break
-        before = now
-    labels = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    return nodes.select("node").join(labels, "node", "left").select(
-        "node", F.coalesce("label", "node").alias("label"))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one link, to a node that has none of its own; each star is then a component."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(
+        edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where(
+        F.col("out") + F.col("in") > 1).isEmpty()
 
 
 class _Join:
@@ -211,7 +240,6 @@ class _Join:
         counts = tokens.groupBy("token").agg(F.count("*").alias("lists")).where("lists > 1").select("token")
         self.postings = self.work.put(tokens.join(counts, "token", "left_semi"), "postings")
         self.labels = self.classes.select(F.col("class").alias("node"), F.col("class").alias("label"))
-        self.links = None
 
     def within_reach(self, na: str, nb: str, left_a: str, left_b: str):
         """Size and place filter of two sets that share a token.
@@ -293,9 +321,13 @@ class _Join:
         both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
         links = work.put(both.mapInArrow(compare, "a binary, b binary").distinct(), f"{name}-links")
         work.drop(f"{name}-sets", f"{name}-ids", f"{name}-pairs")
-        self.links = links if self.links is None else self.links.union(links)
-        nodes = self.classes.select(F.col("class").alias("node"))
-        self.labels = work.put(connected_components(work, nodes, self.links, name), f"{name}-labels")
+        if links.isEmpty():
+            return
+        # Only components that the new links join are labelled anew, on the graph of their labels.
+        named = self.labels.select("node", "label")
+        ends = links.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        moved = connected_components(work, ends, name).toDF("label", "to")
+        self.labels = work.put(named.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), f"{name}-labels")
 
     def exact_round(self) -> None:
         """Pair all classes that share a prefix token and are in different components yet."""

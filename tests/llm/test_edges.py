@@ -224,3 +224,16 @@ def test_lm_scoring(odd_docs, no_docs):
     assert all(r["pll"] == 0 and r["pll_mean"] is None for r in rows if r["doc_id"] in (4, 5, 6))
     assert all(r["pll"] < 0 for r in rows if r["n_tokens"])
     assert lm_scoring.pseudo_likelihood(no_docs).count() == 0
+
+
+def test_components_of_paths_and_hubs(spark, monkeypatch):
+    """A path over many partitions, a hub and pairs, with forests that are cut often."""
+    from datewise.llm.common import Scratch
+
+    monkeypatch.setattr(jaccard_join, "FOREST_NODES", 3)
+    name = lambda i: i.to_bytes(4, "big")
+    links = [(i, i + 1) for i in range(0, 120)] + [(500, i) for i in range(501, 560)] + [(900, 901), (901, 900), (7, 7)]
+    df = spark.createDataFrame([(bytearray(name(b)), bytearray(name(a))) for a, b in links], "a binary, b binary").repartition(5)
+    got = {bytes(r["node"]): bytes(r["label"]) for r in jaccard_join.connected_components(Scratch(spark, "paths"), df, "t").collect()}
+    want = {name(i): name(0) for i in range(1, 121)} | {name(i): name(500) for i in range(501, 560)} | {name(901): name(900)}
+    assert got == want
