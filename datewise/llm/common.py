@@ -14,12 +14,14 @@ _OWN_DIRS: dict[str, str] = {}
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of the session (`spark.checkpoint.dir`).
 
-    A private temporary folder is made only where the setting is absent, which
-    is the case on a single machine and in tests.
+    A private temporary folder is made only where the setting is absent and
+    Spark runs in one process, as in tests; on a cluster its absence is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="datewise-")

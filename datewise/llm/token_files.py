@@ -268,7 +268,36 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, pattern: str,
     encoded = base.mapInArrow(encode, "shard int, doc_id long, width int, ids binary")
     ordered = encoded.repartition(int(len(limits)) + 1, "shard").sortWithinPartitions(
         "shard", F.asc_nulls_first("doc_id"), "ids")
-    ordered.mapInArrow(build, SHARD_SCHEMA).write.mode("overwrite").parquet(path)
+    # Codes lie in the files as they are, without compression, so a token is read and not decompressed.
+    ordered.mapInArrow(build, SHARD_SCHEMA).write.mode("overwrite").option("compression", "uncompressed").parquet(path)
+
+
+def _offsets(shards: DataFrame) -> DataFrame:
+    """shard and the ids of all shards before it; one row a shard is ordered globally."""
+    return shards.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn(
+        "offset", F.coalesce(F.sum("n").over(
+            Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("shard", "offset")
+
+
+def read_span(spark, path: str, start: int, end: int) -> DataFrame:
+    """(place, id) of the corpus' tokens start..end, end exclusive, by random access.
+
+    Only shards that hold some of them are read, and of their codes only the
+    chunks of these tokens are looked at.
+    """
+    shards = spark.read.parquet(path)
+    asked = shards.join(_offsets(shards), "shard").where((F.col("offset") < end) & (F.col("offset") + F.col("n_tokens") > start)).select(
+        "offset", "n_tokens", "levels", "bitmaps", "ranks")
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                codes = DirectlyAddressableCodes.from_binary(row["n_tokens"], row["levels"], row["bitmaps"], row["ranks"])
+                lo, hi = max(0, start - row["offset"]), min(row["n_tokens"], end - row["offset"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(lo, hi) + row["offset"], pa.int64()), pa.array(codes.slice(lo, hi).astype(np.int64))], ["place", "id"])
+
+    return asked.mapInArrow(run, "place long, id long")
 
 
 def read_tokens(spark, path: str, with_ids: bool = True) -> DataFrame:
@@ -278,9 +307,7 @@ def read_tokens(spark, path: str, with_ids: bool = True) -> DataFrame:
     Only one row a shard is ordered globally.
     """
     shards = spark.read.parquet(path)
-    offsets = shards.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn(
-        "offset", F.coalesce(F.sum("n").over(
-            Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("shard", "offset")
+    offsets = _offsets(shards)
 
     def decode(batches):
         for batch in batches:

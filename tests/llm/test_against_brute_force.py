@@ -184,7 +184,7 @@ def test_greedy_token_counts(spark, sf_dir, docs):
         return n
 
     got = rows(spark, sf_dir, "op10_token_count").set_index("doc_id")
-    for i, t in list(zip(docs.doc_id, docs.text))[:60]:
+    for i, t in zip(docs.doc_id, docs.text):
         words = (t or "").encode().split()
         assert (got.n_words[i], got.n_tokens[i]) == (len(words), sum(count(b" " + w) for w in words))
     assert len(got) == len(docs)
@@ -217,3 +217,18 @@ def test_pseudo_likelihood_learns(spark, sf_dir, docs):
         a, b = h @ net.to_class, h @ net.to_word[tokens[k] // lm.SIDE]
         total += a[tokens[k] // lm.SIDE] - np.log(np.exp(a).sum()) + b[tokens[k] % lm.SIDE] - np.log(np.exp(b).sum())
     assert got.set_index("doc_id").pll[docs.doc_id.iloc[0]] == pytest.approx(total, rel=1e-4)
+
+
+def test_packing_pads_least_over_the_whole_table(spark, sf_dir, docs):
+    """The registered query's padding against the plain quadratic program over every distinct length."""
+    from datewise.llm.packing import BUCKETS
+
+    lengths, counts = np.unique([len((t or "").split()) for t in docs.text], return_counts=True)
+    m, seen = len(lengths), np.concatenate([[0], np.cumsum(counts)])
+    best = lengths * seen[1:]
+    for _ in range(BUCKETS - 1):
+        best = np.array([min([int(lengths[j] * seen[j + 1])] + [int(best[i - 1] + lengths[j] * (seen[j + 1] - seen[i])) for i in range(1, j + 1)])
+                         for j in range(m)])
+    got = rows(spark, sf_dir, "op8_packing")
+    assert got.padded_len.sum() == best[-1] and got.padding.sum() == best[-1] - (lengths * counts).sum()
+    assert m > 100 and got.bucket.nunique() == BUCKETS

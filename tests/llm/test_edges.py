@@ -129,6 +129,10 @@ def test_token_files(spark, odd_docs, no_docs, tmp_path):
         assert r["start"] == at and len(r["ids"]) == 4 * r["n_tokens"]
         at += r["n_tokens"]
     assert spark.read.parquet(path).count() > 1
+    every = np.concatenate([np.frombuffer(r["ids"], "<u4") for r in ordered])
+    for a, b in ((0, 5), (at // 3, at // 3 + 1000), (at - 3, at), (at, at + 5)):
+        span = sorted((r["place"], r["id"]) for r in token_files.read_span(spark, path, a, b).collect())
+        assert span == [(k, int(every[k])) for k in range(a, min(b, at))]
     token_files.write_tokens(no_docs, f"{path}-none", vocabulary_path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 2)
     assert token_files.read_tokens(spark, f"{path}-none").count() == 0
 
