@@ -18,7 +18,7 @@ def work_dir(spark: SparkSession, label: str) -> str:
     """A new folder under the session's `spark.checkpoint.dir`; a temporary one only where that is unset and Spark runs locally."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         base = _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="datewise-"))
